@@ -26,10 +26,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch that removes a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write df as Parquet; its shuffle files go once it is written, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later stages survive lost executors and have its true size."""
     path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    write_table(df, path, *partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

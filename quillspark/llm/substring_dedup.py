@@ -6,7 +6,8 @@ shingle in about fifteen is picked, so the index is small. Each batch of documen
 immutable run of (fingerprint, count), sorted by fingerprint; a batch is merge-joined with the runs;
 runs are compacted by adding up counts. Fingerprints seen twice are then verified: first the whole
 stretch of words whose windows picked it (one row for 15 windows), and where stretches differ,
-window by window, on two independent 64-bit hashes of the window's words.
+window by window. What is taken as equal agrees in the fingerprint and in an independent 64-bit hash
+of all its words.
 
 Defined results: a null text has no words; a document with fewer than 35 words loses nothing;
 windows of one document count against each other and may overlap; repeated rows count as documents
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, scratch_path, texts
+from .common import WORD, materialise, scratch_path, texts, write_table
 
 WINDOW = 35
 SHINGLE = 6
@@ -35,6 +36,7 @@ CHUNK = 400_000
 CACHE = 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -60,13 +62,23 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n, at least, of base's inverse and of base."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = max(2 * CHUNK, n)
+        _POWERS[base] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (pow(base, -1, 1 << 64), base))
+    return _POWERS[base]
+
+
 class _Rolling:
     """Hashes of any stretch [a, b) of a sequence of word hashes."""
 
     def __init__(self, x: np.ndarray, base: int):
-        n = len(x)
-        self.inverse, powers = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (pow(base, -1, 1 << 64), base))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[:n])])
+        self.inverse, powers = _powers(base, len(x))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[: len(x)])])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
@@ -78,13 +90,13 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def _rollings(x: np.ndarray) -> tuple[_Rolling, _Rolling]:
-    return _Rolling(_mix(x), _B1), _Rolling(_mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), _B2)
+    return _Rolling(_mix(x), _B1), _Rolling(_mix(x ^ _OTHER), _B2)
 
 
 def _picked(x: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """For the words x of documents that end at ends: each run of windows that pick one fingerprint.
 
-    doc, fingerprint, stretch (hash of the run's words), first (its first window's start in x), n (windows in it).
+    doc, fingerprint, stretch (hash of the run's words; its last five bits are free for a window's number), first (its first window's start in x), n (windows in it).
     """
     one, two = _rollings(x)
     starts = np.arange(len(x) - SHINGLE + 1)
@@ -105,7 +117,7 @@ def _picked(x: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     n = np.diff(np.append(first, len(at)))
     a, pick = window[first], at[first]
     with np.errstate(over="ignore"):
-        stretch = _mix(two(a, a + n - 1 + WINDOW) + (pick - a).astype(np.uint64) * _M1 + n.astype(np.uint64) * _M2)
+        stretch = _mix(two(a, a + n - 1 + WINDOW) + (pick - a).astype(np.uint64) * _M1 + n.astype(np.uint64) * _M2) & ~np.uint64(31)
     return {"doc": doc[first], "fingerprint": value[pick], "stretch": stretch, "first": a, "n": n}
 
 
@@ -162,7 +174,7 @@ class FingerprintIndex:
 
     def _write(self, counted: DataFrame) -> str:
         path = scratch_path(self.spark, "fingerprint-run")
-        counted.sortWithinPartitions("fingerprint").write.parquet(path)
+        write_table(counted.sortWithinPartitions("fingerprint"), path)
         return path
 
     def run(self, path: str) -> DataFrame:
@@ -189,41 +201,42 @@ class FingerprintIndex:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fingerprint, stretch, bit, w1, w2, n: the hashed windows of wanted stretches, read from one document each."""
-    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("fingerprint", "stretch", "start", "windows", "n")).alias("all"))
+    """fingerprint, w (hash of a window's words, independent of fingerprint), at (stretch + number of the window, or + 31
+    for windows of stretches that are repeated as a whole): the windows of wanted stretches, read from one document each."""
+    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("fingerprint", "stretch", "start", "windows", "whole")).alias("all"))
     # Plain arrays reach pandas as numpy arrays.
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *(F.col(f"all.{c}").alias(c) for c in ("fingerprint", "stretch", "start", "windows", "n")))
+    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *(F.col(f"all.{c}").alias(c) for c in ("fingerprint", "stretch", "start", "windows", "whole")))
     keyed = texts(docs, key=True)
-    rows = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(per_doc["_id"]) & (keyed["text_key"] == per_doc["_key"])).select("text", "fingerprint", "stretch", "start", "windows", "n")
+    rows = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(per_doc["_id"]) & (keyed["text_key"] == per_doc["_key"])).select("text", "fingerprint", "stretch", "start", "windows", "whole")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             for r in b.itertuples(index=False):
-                one, two = _rollings(_hashes(r.text))
+                two = _Rolling(_mix(_hashes(r.text) ^ _OTHER), _B2)
                 m = np.asarray(r.windows)
                 bit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 a = np.repeat(np.asarray(r.start), m) + bit
                 wide = lambda c: np.repeat(np.asarray(c), m)  # noqa: B023, E731
-                yield pd.DataFrame({"fingerprint": wide(r.fingerprint), "stretch": wide(r.stretch), "bit": bit.astype(np.int32), "w1": one(a, a + WINDOW).view(np.int64), "w2": two(a, a + WINDOW).view(np.int64), "n": wide(r.n)})
+                yield pd.DataFrame({"fingerprint": wide(r.fingerprint), "w": two(a, a + WINDOW).view(np.int64), "at": wide(r.stretch) + np.where(wide(r.whole), 31, bit)})
 
-    out = rows.mapInPandas(of, "fingerprint long, stretch long, bit int, w1 long, w2 long, n long")
-    return out.groupBy("fingerprint", "stretch", "bit").agg(F.first("w1").alias("w1"), F.first("w2").alias("w2"), F.first("n").alias("n"))
+    return rows.mapInPandas(of, "fingerprint long, w long, at long")
 
 
 def repeated(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """fingerprint, stretch, mask: bit k is set if the stretch's window k has its equal somewhere else."""
-    per = hits.groupBy("fingerprint", "stretch").agg(
-        F.sum(F.size("starts")).alias("n"), F.first("n").alias("windows"), F.min(F.struct("doc_id", "text_key", F.element_at("starts", 1).alias("start"))).alias("at")
-    )
-    per = materialise(per, "stretches")
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_key")]
+    per = hits.groupBy("fingerprint", "stretch").agg(F.sum(F.size("starts")).alias("n"), F.first("n").alias("windows"), *one, F.first(F.element_at("starts", 1)).alias("start"))
+    per = materialise(per.withColumn("whole", F.col("n") > 1).drop("n"), "stretches")
     mixed = per.groupBy("fingerprint").agg(F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("lo <> hi").select("fingerprint")
-    doubtful = per.join(mixed, "fingerprint").select("fingerprint", "stretch", "n", "windows", "at.doc_id", "at.text_key", "at.start")
-    windows = _windows(docs, doubtful)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.collect_set(F.when(F.col("n") == 1, F.struct("fingerprint", "stretch", "bit"))).alias("single"))
-    # A window met once in each of its stretches; those met twice within one stretch are wholly repeated below.
-    found = twice.where("n > 1").select(F.explode("single").alias("x")).select("x.*")
-    masks = found.groupBy("fingerprint", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    full = per.where("n > 1").select("fingerprint", "stretch", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    windows = materialise(_windows(docs, per.join(mixed, "fingerprint")), "windows")
+    # Windows of two stretches or more. The smallest and largest place are all there is of a group of two; only the
+    # windows of larger groups are looked up again.
+    twice = materialise(windows.groupBy("fingerprint", "w").agg(F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi"), "repeated-windows")
+    ends = twice.select("fingerprint", F.explode(F.array("lo", "hi")).alias("at"))
+    inner = windows.join(twice.where("c > 2").select("fingerprint", "w"), ["fingerprint", "w"]).select("fingerprint", "at")
+    single = ends.union(inner).where("at & 31 <> 31")
+    masks = single.groupBy("fingerprint", F.expr("at & ~31L").alias("stretch")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("mask"))
+    full = per.where("whole").select("fingerprint", "stretch", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
     return full.unionByName(masks)
 
 
@@ -237,7 +250,7 @@ def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
     hits = materialise(index.probe(found.drop("batch")), "hits")
     marks = hits.join(repeated(docs, hits), ["fingerprint", "stretch"])
     marks = marks.select("doc_id", "text_key", F.transform("starts", lambda s: s.cast("long") * F.lit(1 << PICKS).cast("long") + F.col("mask")).alias("m"))
-    return marks.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    return materialise(marks.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("m")).alias("marks")), "marks")
 
 
 def covered(n: int, marks: np.ndarray | None) -> np.ndarray:
