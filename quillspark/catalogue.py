@@ -1,12 +1,220 @@
-"""Registered queries of the library and the SQL that checks them."""
+"""Registered queries of the library, each over a whole table, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import urls as U
+from .operators import crawl as C
+from .operators import outputs as O
+from .sources import files as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+FETCHED = "2024-01-01T00:00:00.000Z"
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TITLE_SQL = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r]+', ' ', 'g'))"
+_DECODED_SQL = f"replace(replace(replace(replace(replace({_TITLE_SQL}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
+_PLAIN_SQL = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)$', '\1/')"
+_NORM_SQL = f"CASE WHEN length(regexp_replace({_PLAIN_SQL}, '^https?://[^/]+', '')) > 1 THEN regexp_replace({_PLAIN_SQL}, '/$', '') ELSE {_PLAIN_SQL} END"
+
+
+@_query(r"SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text_norm FROM documents")
+def txt_01_line_endings(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.line_endings(F.col("text")).alias("text_norm"))
+
+
+@_query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS words FROM documents")
+def txt_02_word_count(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@_query(r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+\.([^.]+)$', 1)) AS ext FROM pages")
+def hlp_01_stem_ext(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.file_stem(F.col("url")).alias("stem"), T.file_extension(F.col("url")).alias("ext"))
+
+
+@_query(r"SELECT doc_id, replace(replace(replace(text, '|', '\|'), chr(13) || chr(10), ' '), chr(10), ' ') AS cell FROM documents")
+def txt_07_escape_cell(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.escape_cell(F.col("text")).alias("cell"))
+
+
+@_query("SELECT 'nation' AS name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")
+def txt_08_rows_to_table(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    cells = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
+    return rows.select(F.lit("nation").alias("name"), T.table_markdown(cells).alias("markdown"))
+
+
+@_query("SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM conversations")
+def txt_11_blockquote(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.blockquote(F.col("text")).alias("quoted"))
+
+
+@_query(r"""SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '-', 'g') AS segment FROM pages""")
+def txt_13_safe_segment(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.safe_segment(F.col("url")).alias("segment"))
+
+
+@_query(f"SELECT page_id, {_DECODED_SQL} AS title FROM pages")
+def txt_14_entities(spark, sf_dir):
+    raw = T.trim_all(F.regexp_replace(F.regexp_extract("html", U.TITLE, 1), r"[ \t\n\r]+", " "))
+    return _table(spark, sf_dir, "pages").select("page_id", T.decode_entities(raw).alias("title"))
+
+
+@_query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+def txt_15_escape_html(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.escape_html(F.col("text")).alias("html"))
+
+
+@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^#{1,6}[ \t]') THEN 'heading' WHEN line LIKE '>%' THEN 'blockquote' WHEN regexp_matches(line, '^[ \t]*```') THEN 'fence' WHEN regexp_matches(line, '^[ \t]*([-*+]|[0-9]+\.)[ \t]+') THEN 'bullet' ELSE 'inline' END AS kind FROM l""")
+def txt_16_highlight(spark, sf_dir):
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.highlight_class(F.col("line")).alias("kind"))
+
+
+@_query(f"SELECT page_id, {_NORM_SQL} AS url_norm FROM pages")
+def url_02_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.normalise(F.col("url"), F.col("url")).alias("url_norm"))
+
+
+_LINKS_SQL = r"""l AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS h FROM pages),
+p AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM l)"""
+
+
+@_query(f"WITH {_LINKS_SQL} SELECT page_id, pos, trim(href) AS href FROM p")
+def url_07_links(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(U.hrefs(F.col("html"))).alias("pos", "href"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+@_query(f"WITH {_LINKS_SQL} SELECT page_id, pos, NOT regexp_matches(href, '^https?://') OR regexp_extract(href, '^(https?://[^/]+)', 1) = regexp_extract(url, '^(https?://[^/]+)', 1) AS internal FROM p")
+def url_03_internal(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(U.hrefs(F.col("html"))).alias("pos", "href"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), U.is_internal(U.normalise(F.col("href"), F.col("url")), F.col("url")).alias("internal"))
+
+
+@_query("SELECT page_id, regexp_matches(lower(url), 'html|page') AND NOT regexp_matches(lower(url), 'utm_') AS kept FROM pages")
+def url_04_patterns(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.included(F.col("url"), U.split_patterns("html, page"), U.split_patterns("utm_")).alias("kept"))
+
+
+@_query(f"SELECT page_id, {_DECODED_SQL} AS title FROM pages")
+def url_08_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@_query(f"""WITH n AS (SELECT page_id, regexp_replace({_NORM_SQL}, '^https?://[^/]+', '') AS path FROM pages)
+SELECT page_id, CASE WHEN path = '/' THEN 'index.md' WHEN regexp_matches(path, '[.][^/]*$') THEN regexp_replace(substr(path, 2), '[.][^./]*$', '') || '.md' ELSE substr(path, 2) || '/index.md' END AS path FROM n""")
+def url_12_mirror_path(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.mirror_path(U.normalise(F.col("url"), F.col("url"))).alias("path"))
+
+
+@_query(f"""SELECT page_id, concat_ws(chr(10), '# Page: ' || url, '**Title:** ' || {_DECODED_SQL}, '**URL:** ' || url, '**Depth:** 0', '**Word Count:** 0', '**Fetched At:** {FETCHED}', '', '_No markdown extracted._') AS section FROM pages""")
+def snk_02_section(spark, sf_dir):
+    none = F.expr("cast(array() as array<string>)")
+    section = O.page_section(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.lit(0), F.lit(FETCHED), none, F.lit(""))
+    return _table(spark, sf_dir, "pages").select("page_id", section.alias("section"))
+
+
+@_query(f"""SELECT page_id, concat_ws(chr(10), '---', 'title: "' || replace({_DECODED_SQL}, '"', '\\"') || '"', 'url: ' || url, 'depth: 0', 'wordCount: ' || length(html), '---') AS front FROM pages""")
+def snk_03_front_matter(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", O.front_matter(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.length("html")).alias("front"))
+
+
+@_query()
+def snk_04_jsonl(spark, sf_dir):
+    none = F.expr("cast(array() as array<string>)")
+    line = O.jsonl(F.col("url"), U.page_title(F.col("html"), F.col("url")), F.lit(""), F.lit(0), F.lit("seed"), F.lit(FETCHED), F.lit(0), none)
+    return _table(spark, sf_dir, "pages").select("page_id", line.alias("line"))
+
+
+@_query("SELECT doc_id || '.' || lang AS filename, '' AS markdown, CAST(doc_id AS VARCHAR) AS title, 'Unsupported file format: .' || lang AS warnings FROM documents")
+def src_01_dispatch(spark, sf_dir):
+    """Documents as files with their language for an extension: none has a handler."""
+    files = _table(spark, sf_dir, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("filename"), "text")
+    return S.convert(files).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@_query("SELECT doc_id || '.md' AS filename, replace(text, chr(13) || chr(10), chr(10)) AS markdown, CAST(doc_id AS VARCHAR) AS title, '' AS warnings FROM documents")
+def src_07_text(spark, sf_dir):
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "text")
+    return S.convert(files).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@_query("SELECT c_custkey, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |' AS markdown FROM customer")
+def src_09_csv(spark, sf_dir):
+    """One small CSV file for each customer."""
+    files = _table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".csv")).alias("filename"), F.format_string('name, segment\n"%s" ,%s\n\n', "c_name", "c_mktsegment").alias("text"))
+    return S.convert(files).select(F.col("title").cast("long").alias("c_custkey"), "markdown")
+
+
+@_query("SELECT conv_id, string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id")
+def src_12_pdf_assembly(spark, sf_dir):
+    """Turns of a conversation as the pages of a PDF."""
+    pages = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p")).where(F.size("p") > 1)
+    return pages.select("conv_id", T.pdf_markdown(F.col("p.text")).alias("markdown"))
+
+
+@_query("SELECT p_partkey, '| ' || p_name || ' | ' || p_size || '.0 | ' || p_size || ' | 0 | ' || p_size || ' | 1 |' AS row FROM part")
+def src_21_word_boxes(spark, sf_dir):
+    """Parts as OCR words; the last row of each layout table."""
+    box = F.struct(F.col("p_size").cast("double").alias("x0"), F.lit(-0.25).cast("double").alias("y0"), (F.col("p_size") * 2).cast("double").alias("x1"), F.lit(0.75).cast("double").alias("y1"))
+    words = F.array(F.struct(F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("confidence"), box.alias("bbox")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split(T.layout_table(T.word_boxes(words)), "\n"), -1).alias("row"))
+
+
+@_query("SELECT p_partkey AS id, floor(p_retailprice * 100 + 0.5) / 100 AS cost FROM part WHERE p_retailprice > 0 AND NOT contains(p_name, 'embed') ORDER BY cost, id LIMIT 20")
+def udf_08_models(spark, sf_dir):
+    """The cheapest entries of a catalogue, for which parts stand in; the limit is the feature."""
+    rows = _table(spark, sf_dir, "part").where((F.col("p_retailprice") > 0) & ~F.col("p_name").contains("embed"))
+    return rows.select(F.col("p_partkey").alias("id"), (F.floor(F.col("p_retailprice") * 100 + 0.5) / 100).cast("double").alias("cost")).orderBy("cost", "id").limit(20)
+
+
+@_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def ctl_06_status_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+def _derived_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of one site and links by arithmetic, as no page of the tables links to another: from p, at places 0 to 2, to
+    (7 p + 13 k + 1) mod the number of pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id")
+    n = pages.agg(F.max("page_id") + 1).first()[0]
+    url = lambda p: F.concat(F.lit("http://site.test/p/"), p.cast("string"))
+    links = pages.select(url(F.col("page_id")).alias("src"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("page_id") * 7 + k * 13 + 1, F.lit(n)))).alias("pos", "to"))
+    seeds = pages.where("page_id = 0").select(url(F.lit(0)).alias("root"), url(F.lit(0)).alias("url"), F.lit("seed").alias("source"), F.lit("0").alias("seq"))
+    return seeds, pages.select(url(F.col("page_id")).alias("url")), links.select("src", "pos", url(F.col("to")).alias("dst"))
+
+
+@_query("""WITH RECURSIVE n AS (SELECT max(page_id) + 1 AS n FROM pages), c AS (SELECT CAST(0 AS BIGINT) AS p, 0 AS depth UNION SELECT (c.p * 7 + k.k * 13 + 1) % n.n, c.depth + 1 FROM c, n, (SELECT unnest([0, 1, 2]) AS k) k WHERE c.depth < 4)
+SELECT 'http://site.test/p/' || p AS url, min(depth) AS depth FROM c GROUP BY p""")
+def crw_01_crawl(spark, sf_dir):
+    return C.crawl(*_derived_graph(spark, sf_dir)).select("url", "depth")
 
 
-def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+@_query()
+def page_overview(spark, sf_dir):
+    """Title, numbers of links and of links within the site, and words of the text outside tags, of every page."""
+    links = U.hrefs(F.col("html"))
+    inside = F.filter(links, lambda h: U.is_internal(U.normalise(h, F.col("url")), F.col("url")))
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
+    return _table(spark, sf_dir, "pages").select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size(links).cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), T.word_count(plain).alias("words"))
