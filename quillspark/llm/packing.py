@@ -13,6 +13,7 @@ columns other than doc_id and text are ignored. Texts are tokenised whole.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,33 +30,52 @@ END = 1
 BUCKET = 20_000
 STEPS = 200_000
 REGION = 24
-CACHE = 400_000
+CACHE = 1_000_000
+#: Marks that follow a word (an apostrophe may begin a contraction, so it is none).
+MARKS = b".,!?;:*#$%&|<>()"
 
 
-class _Ids(dict):
+class _Ids:
     """Little-endian 32-bit ids of words. Ids of a text are those of its words, as the vocabulary drops white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add words to known. The vocabulary folds case and parts a letter from the marks after it, so only bare
+        words in lower case and runs of marks are tokenised; what may be a special token is left as it is."""
+        if len(self.known) + len(words) > CACHE:
+            self.known.clear()
+        new = words.difference(self.known)
+        folded = {w: (w if b"<|" in w else w.lower()) for w in new}
+        bare = {w: (b if b"<|" not in w and (b := f.rstrip(MARKS))[-1:].isalpha() else f) for w, f in folded.items()}
+        tails = {w: folded[w][len(b) :] for w, b in bare.items()}
+        fresh = list({*bare.values(), *tails.values(), b""}.difference(self.known))
+        for i in range(0, len(fresh), 2000):
+            part = fresh[i : i + 2000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, [struct.pack(f"<{len(i)}I", *i) for i in [e.ids for e in found]]))
+        known = self.known
+        known.update({w: known[b] + known[tails[w]] for w, b in bare.items()})
 
 
 _IDS: dict[str, _Ids] = {}
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a text and the end token, as little-endian unsigned 32-bit integers."""
+def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each text and the end token, as little-endian unsigned 32-bit integers."""
     if path not in _IDS:
         _IDS[path] = _Ids(path)
-    return b"".join(map(_IDS[path].__getitem__, text.encode().split())) + END.to_bytes(4, "little")
+    ids, end = _IDS[path], END.to_bytes(4, "little")
+    for i in range(0, len(texts), 100):
+        split = [t.encode().split() for t in texts[i : i + 100]]
+        ids.learn(set().union(*split))
+        get = ids.known.__getitem__
+        for words in split:
+            yield b"".join(map(get, words)) + end
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -65,8 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             out = []
-            for i, text in enumerate(b["text"]):
-                ids = token_bytes(text, tokenizer)
+            for i, ids in enumerate(token_bytes(b["text"].tolist(), tokenizer)):
                 crc = 0
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
