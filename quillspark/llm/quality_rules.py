@@ -122,4 +122,7 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """docs, all columns, without the rows that the rules reject; their texts and lines are judged in place, without a join."""
     names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("_row"), "doc_id", "text")
-    return judge(held, rules, carry=["_row"]).where("kept").select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))
+    # The row number keeps the optimiser from moving the condition below the steps that compute its columns: there it
+    # would repeat each step's expression for every use, and the plan would outgrow the driver.
+    judged = judge(held, rules, carry=["_row"]).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_n") >= 0)).select(*(F.col(f"_row.{n}").alias(c) for c, n in names.items()))
