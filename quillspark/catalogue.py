@@ -214,7 +214,7 @@ def crw_01_crawl(spark, sf_dir):
 @_query()
 def page_overview(spark, sf_dir):
     """Title, numbers of links and of links within the site, and words of the text outside tags, of every page."""
-    links = U.hrefs(F.col("html"))
-    inside = F.filter(links, lambda h: U.is_internal(U.normalise(h, F.col("url")), F.col("url")))
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
-    return _table(spark, sf_dir, "pages").select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size(links).cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), T.word_count(plain).alias("words"))
+    pages = _table(spark, sf_dir, "pages").withColumn("links", U.hrefs(F.col("html"))).withColumn("origin", U.origin(F.col("url")))
+    inside = F.filter("links", lambda h: U.is_internal_href(h, F.col("origin")))
+    return pages.select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size("links").cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), T.word_count(plain).alias("words"))

@@ -55,6 +55,13 @@ def is_internal(url: Column, root: Column) -> Column:
     return F.coalesce(origin(url) == origin(root), F.lit(False))
 
 
+def is_internal_href(href: Column, page_origin: Column) -> Column:
+    """Whether a link as written stays on the origin of its page; cheaper than normalising it first."""
+    absolute = F.when(href.startswith("//"), F.concat(F.substring_index(page_origin, "//", 1), href)).otherwise(href)
+    stays = F.coalesce(origin(absolute) == page_origin, F.lit(False))
+    return F.when(href.rlike("(?i)^(?:https?:)?//"), stays).otherwise(~href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
+
+
 def included(url: Column, include: list[str] = [], exclude: list[str] = []) -> Column:  # noqa: B006
     """No exclude pattern matches, and one of include does (if there are any); upper and lower case are alike."""
     any_of = lambda patterns: F.array_max(F.array(*(url.rlike(f"(?iu){p}") for p in patterns)))
