@@ -309,3 +309,22 @@ def test_empty_tables(spark, docs):
         licenses.license_scan(none), byte_bpe.byte_bpe(none, RANKS, tokenizers.PATTERN), media.media_columns(none), crf_quality.quality_classifier(none, labels),
     ):
         assert out.count() == 0 and out.columns[0] == "doc_id"
+
+
+def test_byte_bpe_seams():
+    bpe = byte_bpe.load(RANKS, tokenizers.PATTERN)
+
+    def merged(text):
+        parts = [bytes([b]) for b in text]
+        while len(parts) > 1:
+            rank, i = min((bpe.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    r, tokens = random.Random(3), sorted(bpe.ranks)
+    repeats = [t for t in tokens if len(set(t)) <= 2]
+    for k in range(6000):
+        a, b = (r.choice(repeats if k % 2 else tokens) for _ in range(2))
+        assert bpe.fit((a, b)) == (merged(a + b) == [a, b])
