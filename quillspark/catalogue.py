@@ -194,6 +194,61 @@ def ctl_06_status_counts(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
+@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<span class="pbw-md-code">\1</span>', 'g'), '(\[[^\]]+\]\([^)]+\))', '<span class="pbw-md-link">\1</span>', 'g') AS html FROM documents""")
+def txt_17_inline(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.highlight_inline(F.col("text")).alias("html"))
+
+
+@_query(r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS words FROM documents)
+SELECT doc_id, words, words >= 50 AS kept FROM w""")
+def txt_19_minimum_words(spark, sf_dir):
+    """Documents with enough words to keep, and those that get a warning instead."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return rows.withColumn("kept", F.col("words") >= 50)
+
+
+@_query("SELECT p_partkey, floor(p_size * 1.0e-7 * 1e8 + 0.5) / 100 AS cost, '$' || printf('%.2f', floor(p_size * 1.0e-7 * 1e8 + 0.5) / 100) || '/M' AS label FROM part")
+def txt_23_cost_label(spark, sf_dir):
+    cost = T.cost_per_million(F.col("p_size") * F.lit(1e-7))
+    return _table(spark, sf_dir, "part").select("p_partkey", cost.alias("cost"), T.cost_label(cost).alias("label"))
+
+
+@_query(f"SELECT page_id, '# ' || {_DECODED_SQL} || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'Byline: ' || page_id || chr(10) || chr(10) ELSE '' END || '_No markdown generated._' || chr(10) AS document FROM pages")
+def txt_28_page_document(spark, sf_dir):
+    """Every page's document without a body, every second with a byline."""
+    byline = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string"))
+    return _table(spark, sf_dir, "pages").select("page_id", O.page_document(U.page_title(F.col("html"), F.col("url")), F.col("url"), byline, F.lit(" ")).alias("document"))
+
+
+@_query("SELECT page_id, url AS loc FROM pages")
+def url_09_sitemap_locs(spark, sf_dir):
+    """Each page's address out of a sitemap that lists it, escaped, and a blank one."""
+    xml = F.concat(F.lit("<urlset><url><LOC>\n "), T.escape_html(F.col("url")), F.lit(" </LOC></url><url><loc> </loc></url></urlset>"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(U.sitemap_locs(xml)).alias("loc"))
+
+
+@_query(r"SELECT page_id, regexp_matches(url, '(?i)sitemap|\.xml(\?|$)') AS sitemap, regexp_matches(url, '(?i)html|xml') AS page_type FROM pages")
+def url_10_sitemap_type(spark, sf_dir):
+    """Addresses that look like sitemaps; addresses stand in for content types."""
+    return _table(spark, sf_dir, "pages").select("page_id", U.is_sitemap(F.col("url")).alias("sitemap"), U.is_page_type(F.col("url")).alias("page_type"))
+
+
+@_query("""WITH e AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'JPG' WHEN 1 THEN 'tiff' WHEN 2 THEN 'md' ELSE 'pdf' END AS ext FROM part)
+SELECT p_partkey, CASE ext WHEN 'JPG' THEN 'image/jpeg' WHEN 'tiff' THEN 'image/tiff' ELSE 'application/octet-stream' END AS type, ext = 'md' AS as_text FROM e""")
+def src_22_types(spark, sf_dir):
+    """Image types, and whether a file is read as text, of names with four endings."""
+    ext = F.element_at(F.array(*(F.lit(x) for x in ("JPG", "tiff", "md", "pdf"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    ending = T.file_extension(F.concat(F.lit("f."), ext))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.image_type(ending).alias("type"), ending.isin(S.READ_AS_TEXT).alias("as_text"))
+
+
+@_query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS html, count(*) AS regions FROM conversations GROUP BY conv_id")
+def ext_08_region_merge(spark, sf_dir):
+    """Turns of a conversation as picked regions, joined in document order; a conversation is a page's few picks."""
+    picks = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return picks.select("conv_id", F.array_join("p.text", "\n").alias("html"), F.size("p").cast("long").alias("regions"))
+
+
 def _derived_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of one site and links by arithmetic, as no page of the tables links to another: from p, at places 0 to 2, to
     (7 p + 13 k + 1) mod the number of pages."""

@@ -11,7 +11,7 @@ _PARTS = r"^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)"
 # Fixed value: an anchor's href in double, single or no quotes.
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
+LOC = r"(?i)<loc>\s*([^<]+)</loc>"
 
 
 def _dots(path: Column) -> Column:
@@ -93,7 +93,7 @@ def sitemap_locs(xml: Column) -> Column:
 
 
 def is_sitemap(url: Column) -> Column:
-    return url.rlike(r"(?i)sitemap|\.xml$")
+    return url.rlike(r"(?i)sitemap|\.xml(\?|$)")
 
 
 def mirror_path(url: Column) -> Column:

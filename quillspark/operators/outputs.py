@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_all
+
 
 def page_section(title: Column, url: Column, depth: Column, words: Column, fetched_at: Column, warnings: Column, markdown: Column) -> Column:
     """A page's block of a whole-site document."""
@@ -25,9 +27,11 @@ def jsonl(url: Column, title: Column, markdown: Column, depth: Column, source: C
 
 
 def page_document(title: Column, url: Column, byline: Column, markdown: Column) -> Column:
-    body = F.when(F.coalesce(F.trim(markdown), F.lit("")) == "", "_No markdown generated._").otherwise(markdown)
-    by = F.when(F.coalesce(byline, F.lit("")) != "", F.concat(F.lit("Byline: "), byline))
-    return F.concat(F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat_ws("\n", F.concat(F.lit("Source: "), url), by), body), F.lit("\n"))
+    """A page's own document; what is missing (null or empty) is left out, a title or text is stood in for."""
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    blocks = [F.concat(F.lit("# "), F.coalesce(some(title), F.lit("Untitled page"))), F.concat(F.lit("Source: "), some(url)), F.concat(F.lit("Byline: "), some(byline))]
+    body = F.coalesce(some(trim_all(markdown)), F.lit("_No markdown generated._"))
+    return F.concat(trim_all(F.concat_ws("\n\n", *blocks, body)), F.lit("\n"))
 
 
 def write_mirror(df: DataFrame, folder: str, partitions: int = 64) -> None:
