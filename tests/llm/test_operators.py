@@ -140,6 +140,33 @@ def test_simhash_links_are_whole(spark, bits, direct):
     assert groups([roots.get(s, s) for s in signed]) == groups(_components(values, bits))
 
 
+def _shingle_set(t):
+    words = t.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("crowd", [32, 4])
+def test_near_duplicates_reach_the_similarity(spark, monkeypatch, crowd):
+    """Against brute force: no two rows stay that reach 0.8, and each that goes reaches it to one that stays."""
+    monkeypatch.setattr(simhash.covered, "__defaults__", (crowd,))
+    r = random.Random(8)
+    made = []
+    for n in (12, 60, 150):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, n // 50))):
+                copy[r.randrange(n)] = f"v{r.randrange(10**6)}"
+            made.append(" ".join(copy))
+        made.append(" ".join(base + [f"u{r.randrange(10**6)}" for _ in range(n)]))  # half of it is not enough
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(frame).collect()}
+    sets = [_shingle_set(t) for t in made]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert not [(i, j) for i, j in itertools.combinations(sorted(kept), 2) if near(i, j)]
+    assert all(any(near(i, j) for j in kept) for i in set(range(len(made))) - kept)
+
+
 def _base_spans(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     kinds = {
