@@ -237,9 +237,10 @@ def _close_sizes(a: str, b: str, similarity: float) -> Column:
 
 
 def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
+    order = df.columns  # a join by name puts its column first
     for c in columns:
         df = df.join(gone.select(F.col("sk").alias(c)), c, "left_anti")
-    return df
+    return df.select(*order)
 
 
 def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, direct: int = CROWD) -> DataFrame | None:
