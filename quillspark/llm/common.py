@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one of our own only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir). Without that setting, a local session gets a temporary
+    folder of its own; on a cluster it is an error, as no machine's own folder would do."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -30,15 +35,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write df as Parquet; its shuffle files go once it is written, as nothing reads them again."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go once they are over, as nothing reads them again. Queries that other threads
+    run meanwhile may lose theirs as early; they would be made anew, so results don't change."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.partitionBy(*partition_by).parquet(path)
+        yield
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+    with shuffle_files_go(df.sparkSession):
+        df.write.partitionBy(*partition_by).parquet(path)
 
 
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
@@ -55,16 +66,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(docs: DataFrame, key: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id and text (null: empty) alone, and the columns to carry, whatever other columns docs has.
 
-    key adds text_key, a hash of the text: (doc_id, text_key) tells repeated doc_ids with
+    key adds text_key, a 64-bit hash of the text: (doc_id, text_key) tells repeated doc_ids with
     different texts apart, and rows that are equal in both get equal results.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = whole_text(F.col("text"))
     out = [F.col("doc_id"), text.alias("text"), *(carry or [])]
     if key:
-        out.append(F.hash(F.xxhash64(text), F.length(text)).alias("text_key"))
+        out.append(F.xxhash64(text).alias("text_key"))
     return docs.select(*out)
 
 
+def whole_text(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under other column names, and the new name of each column: columns that a step adds can't clash with them.
+    Back again: .select(*names.values()).toDF(*docs.columns)."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
