@@ -85,6 +85,8 @@ class Automaton:
         self.free: list[set[int]] = [set()]
         self.end = self._build(parse(template), 0)
         self.start = self._closed({0})
+        self.known: dict[tuple[frozenset[int], str | None], frozenset[int]] = {}
+        self.alphabet = {w for arcs in self.word for w in arcs}
         if self.end in self.start:
             raise ValueError("a template needs mandatory words")
 
@@ -125,16 +127,23 @@ class Automaton:
         """Words that a match can begin with; None if any word can."""
         return None if any(self.any[s] for s in self.start) else {w for s in self.start for w in self.word[s]}
 
+    def step(self, states: frozenset[int], word: str) -> frozenset[int]:
+        """States reached over a word; kept, and words of no arc are all alike, so few steps are ever computed."""
+        key = (states, word if word in self.alphabet else None)
+        if key not in self.known:
+            reached = {self.word[s][word] for s in states if word in self.word[s]}.union(*(self.any[s] for s in states))
+            self.known[key] = self._closed(reached)
+        return self.known[key]
+
     def accepts_at(self, words: list[str], at: int) -> bool:
         """Whether words from at on begin with a match."""
         states = self.start
-        for w in words[at:]:
-            reached = {self.word[s][w] for s in states if w in self.word[s]}.union(*(self.any[s] for s in states))
-            if not reached:
-                return False
-            states = self._closed(reached)
+        for i in range(at, len(words)):
+            states = self.step(states, words[i])
             if self.end in states:
                 return True
+            if not states:
+                return False
         return False
 
 
