@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,23 +147,34 @@ def fillings(counts: dict[int, int], first: int, capacity: int, most_waste: int,
     """Fillings around a document of length first that leave most_waste or less, fullest first, without those that
     another one dominates: one of whose documents could be exchanged for a larger one that fits in the room left over."""
     sizes = sorted((s for s, n in counts.items() if n and s <= capacity - first), reverse=True)
+    falling = [-s for s in sizes]
     found: list[tuple[int, tuple[int, ...]]] = []
     used: dict[int, int] = {}
     # What all documents from a size down add up to: without it a filling can't come close enough.
     rest = np.cumsum([s * counts[s] for s in reversed(sizes)])[::-1].tolist()
 
+    def free(most: int, least: int) -> bool:
+        """Whether an unused document is at most so long, and longer than least."""
+        for s in sizes[bisect_left(falling, -most) :]:
+            budget.left -= 1
+            if s <= least:
+                return False
+            if used.get(s, 0) < counts[s]:
+                return True
+        return False
+
     def grow(k: int, room: int, chosen: tuple[int, ...]) -> None:
         if budget.left <= 0:
             return
         budget.left -= 1
-        if room <= most_waste and not any(c < s <= c + room and used.get(s, 0) < counts[s] for c in set(chosen) for s in sizes):
-            if not any(s <= room and used.get(s, 0) < counts[s] for s in sizes):
-                found.append((room, chosen))
-        for j in range(k, len(sizes)):
+        if room <= most_waste and not free(room, 0) and not any(free(c + room, c) for c in set(chosen)):
+            found.append((room, chosen))
+        for j in range(max(k, bisect_left(falling, -room)), len(sizes)):
             s = sizes[j]
-            if s <= room and room - rest[j] > most_waste:
+            if room - rest[j] > most_waste or budget.left <= 0:
                 return  # all that is left is too small
-            if s <= room and used.get(s, 0) < counts[s]:
+            budget.left -= 1
+            if used.get(s, 0) < counts[s]:
                 used[s] = used.get(s, 0) + 1
                 grow(j, room - s, (*chosen, s))
                 used[s] -= 1
@@ -182,29 +194,43 @@ def complete(lengths: list[int], capacity: int, budget: _Budget) -> list[list[in
     for x in lengths:
         if x > capacity // 256:
             counts[x] = counts.get(x, 0) + 1
-
-    def search(remaining: int, waste: int) -> list[list[int]] | None:
-        if not remaining:
-            return []
-        largest = max(s for s, n in counts.items() if n)
-        counts[largest] -= 1
-        for filling in fillings(counts, largest, capacity, waste, budget):
-            for x in filling:
-                counts[x] -= 1
-            bins = search(remaining - 1 - len(filling), waste - (capacity - largest - sum(filling)))
-            for x in filling:
-                counts[x] += 1
-            if bins is not None:
-                counts[largest] += 1
-                return [[largest, *filling], *bins]
-            if budget.left <= 0:
-                break
-        counts[largest] += 1
-        return None
-
-    bins = search(len(lengths) - len(dust), (incumbent - 1) * capacity - sum(lengths) + sum(dust))
-    if bins is None:
-        return None
+    left = len(lengths) - len(dust)
+    order = sorted(counts, reverse=True)
+    branches: list[tuple[int, Iterator[tuple[int, ...]], int, int]] = []  # largest document, fillings to try, waste left, its place in order
+    chosen: list[tuple[int, ...]] = []
+
+    def branch(waste: int, k: int) -> None:
+        while not counts[order[k]]:
+            k += 1
+        budget.left -= 1 + len(order) // 64
+        counts[order[k]] -= 1
+        branches.append((order[k], iter(fillings(counts, order[k], capacity, waste, budget)), waste, k))
+
+    def take_back() -> int:
+        for x in chosen[-1]:
+            counts[x] += 1
+        return 1 + len(chosen.pop())
+
+    if left:
+        branch((incumbent - 1) * capacity - sum(lengths) + sum(dust), 0)
+    while left:
+        if not branches:
+            return None
+        largest, untried, waste, k = branches[-1]
+        if len(chosen) == len(branches):
+            left += take_back()
+        filling = next(untried, None) if budget.left > 0 else None
+        if filling is None:
+            counts[largest] += 1
+            branches.pop()
+            continue
+        for x in filling:
+            counts[x] -= 1
+        chosen.append(filling)
+        left -= 1 + len(filling)
+        if left:
+            branch(waste - (capacity - largest - sum(filling)), k)
+    bins = [[b[0], *c] for b, c in zip(branches, chosen)]
     for x in dust:
         if not bins or sum(bins[-1]) + x > capacity:
             bins.sort(key=sum, reverse=True)
@@ -215,20 +241,22 @@ def complete(lengths: list[int], capacity: int, budget: _Budget) -> list[list[in
 
 
 def fill(lengths: list[int], capacity: int = CAPACITY, steps: int = STEPS, region: int = REGION) -> list[list[int]]:
-    """Bins of lengths: best-fit decreasing is the incumbent. While it is above the lower bound, the emptiest bins, at
-    most region of them, are packed anew by bin completion into one bin fewer, until that fails or steps are used up."""
+    """Bins of lengths: best-fit decreasing is the incumbent. While it is above the lower bound, the emptiest bins, at first
+    region of them, are packed anew by bin completion into one bin fewer; where that fails, twice as many bins are, up to
+    all of them. A search may take a quarter of steps; what it took is charged, and the incumbent stands once none are left."""
     bins = best_fit(lengths, capacity)
     least = lower_bound(lengths, capacity) if lengths else 0
-    budget = _Budget(steps)
-    size = region
-    while len(bins) > least and budget.left > 0:
+    left, size = steps, region
+    while len(bins) > least and left > 0:
         bins.sort(key=lambda b: (-sum(b), b))
         loose = [x for b in bins[-size:] for x in b]
-        better = complete(loose, capacity, _Budget(budget.left))
-        budget.left -= max(1, steps // 20)
+        budget = _Budget(min(left, -(-steps // 4)))
+        left -= budget.left
+        better = complete(loose, capacity, budget)
+        left += max(0, budget.left)
         if better is not None and len(better) < min(size, len(bins)):
             bins[-size:] = better
-        elif size >= min(len(bins), 16 * region):
+        elif size >= len(bins):
             break
         else:
             size *= 2
