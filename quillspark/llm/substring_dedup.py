@@ -3,8 +3,8 @@
 Every window of 35 words picks one fingerprint: the smallest hash among the 6-word shingles in it
 (the last of equal ones). Equal windows pick the same fingerprint at the same place, and only one
 shingle in about fifteen is picked, so the index is small. Each batch of documents adds one
-immutable run of (fingerprint, count), sorted by fingerprint; a batch is merge-joined with the runs;
-runs are compacted by adding up counts. Fingerprints seen twice are then verified: first the whole
+immutable run of (fingerprint, count) and one of places, sorted by fingerprint; its run is merge-joined
+with the runs before it, and runs are compacted. Fingerprints seen twice are then verified: first the whole
 stretch of words whose windows picked it (one row for 15 windows), and where stretches differ,
 window by window. What is taken as equal agrees in the fingerprint and in an independent 64-bit hash
 of all its words.
@@ -17,16 +17,20 @@ result; columns other than doc_id and text are ignored. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, scratch_path, texts, write_table
+from .common import WORD, materialise, renamed, scratch_path, shuffle_files_go, texts, whole_text, write_table
 
 WINDOW = 35
 SHINGLE = 6
@@ -34,6 +38,8 @@ PICKS = WINDOW - SHINGLE + 1
 #: Words hashed at once, and entries of the word cache.
 CHUNK = 400_000
 CACHE = 400_000
+#: A fingerprint is hot if it has HOT_LEAST places in a batch and more than one place in HOT of them all.
+HOT_LEAST, HOT = 1000, 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -163,41 +169,91 @@ def occurrences(docs: DataFrame, batches: int = 1) -> DataFrame:
                 yield out[["doc_id", "text_key", "fingerprint", "stretch", "starts", "n", "batch"]]
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(of, f"doc_id {kind}, text_key int, fingerprint long, stretch long, starts array<int>, n int, batch int")
+    return d.mapInPandas(of, f"doc_id {kind}, text_key long, fingerprint long, stretch long, starts array<int>, n int, batch int")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, n) in the shared folder; fan_out runs are compacted into one."""
+    """Sorted immutable runs in a folder, listed in a manifest, so that another session can open it and go on.
 
-    def __init__(self, spark: SparkSession, fan_out: int = 4):
-        self.spark, self.fan_out, self.paths = spark, fan_out, []
-
-    def _write(self, counted: DataFrame) -> str:
-        path = scratch_path(self.spark, "fingerprint-run")
-        write_table(counted.sortWithinPartitions("fingerprint"), path)
-        return path
-
-    def run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fingerprint long, n long").parquet(path)
-
-    def append(self, found: DataFrame) -> None:
-        """Add the occurrences of one batch as a new run; counts are summed before the shuffle."""
-        self.paths.append(self._write(found.groupBy("fingerprint").agg(F.sum(F.size("starts")).alias("n"))))
-        if len(self.paths) >= self.fan_out:
-            self.compact()
-
-    def compact(self) -> None:
-        if len(self.paths) > 1:
-            merged = self.run(self.paths[0])
-            for path in self.paths[1:]:
-                merged = merged.union(self.run(path))
-            self.paths = [self._write(merged.groupBy("fingerprint").agg(F.sum("n").alias("n")))]
+    Each batch adds a run of (fingerprint, c) and one of places (occurrences), both bucketed and sorted by fingerprint: the
+    run is merge-joined with the runs before it, and what it meets with their places, without a shuffle of either side.
+    Fingerprints with HOT or more places in a batch (at most 1 / HOT of its places, so a bounded number) have their places
+    in a table of their own, which is never dealt by fingerprint. fan_out runs are compacted into one, and fan_out ** 2
+    tables of places.
+    """
 
-    def probe(self, found: DataFrame, least: int = 2) -> DataFrame:
-        """The occurrences whose fingerprint the index holds at least so many times, by a merge join on the fingerprint."""
-        self.compact()
-        seen = self.run(self.paths[0]).where(F.col("n") >= least).select("fingerprint")
-        return found.join(seen.hint("merge"), "fingerprint")
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_out: int = 2):
+        self.spark, self.fan_out = spark, fan_out
+        self.folder = folder or scratch_path(spark, "fingerprints")
+        try:
+            last = spark.read.schema("version int, runs string").parquet(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException:  # no such folder: a new index
+            last = None
+        self.version = last["version"] if last else 0
+        self.runs = json.loads(last["runs"]) if last else {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "keys": [], "places": [], "hot": [], "schemas": {}}
+
+    def _commit(self) -> None:
+        self.version += 1
+        self.spark.range(1).select(F.lit(self.version).alias("version"), F.lit(json.dumps(self.runs)).alias("runs")).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        """A new run; its rows are already dealt by fingerprint to as many tasks as there are buckets, or fewer."""
+        name = f"{kind}_{uuid.uuid4().hex}"
+        with shuffle_files_go(self.spark):
+            df.write.bucketBy(self.runs["buckets"], "fingerprint").sortBy("fingerprint").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        self.runs["schemas"][name] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):  # written by another session
+            self.spark.sql(f"CREATE TABLE {name} ({self.runs['schemas'][name]}) USING parquet CLUSTERED BY (fingerprint) SORTED BY (fingerprint) INTO {self.runs['buckets']} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(name)
+
+    def _hot(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def add(self, found: DataFrame) -> DataFrame:
+        """Add the occurrences of one batch (written, as they are read more than once). Returns those that share their
+        fingerprint with another one, in this batch or in earlier ones: the batch's, and the earlier ones they meet."""
+        mine = self._write(found.groupBy("fingerprint").agg(F.sum(F.size("starts")).alias("c")), "keys")
+        total = self.run(mine).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        hot = self.run(mine).where(F.col("c") >= max(HOT_LEAST, total // HOT)).select("fingerprint")
+        hot_name = None
+        cold = found
+        if not hot.isEmpty():
+            hot_name = f"hot_{uuid.uuid4().hex}"
+            write_table(found.join(F.broadcast(hot), "fingerprint", "left_semi"), f"{self.folder}/{hot_name}")
+            cold = found.join(F.broadcast(hot), "fingerprint", "left_anti")
+        places = self._write(cold.repartition("fingerprint"), "places")
+        met = self.run(mine)
+        for k, name in enumerate(self.runs["keys"]):
+            met = met.join(self.run(name).select("fingerprint", F.lit(True).alias(f"old_{k}")).hint("merge"), "fingerprint", "left")
+        old = F.coalesce(*(F.col(f"old_{k}") for k in range(len(self.runs["keys"]))), F.lit(False))
+        met = self.run(self._write(met.select("fingerprint", old.alias("old"), "c").where("old or c > 1").select("fingerprint", "old"), "met"))
+        hits = self.run(places).join(met.select("fingerprint").hint("merge"), "fingerprint", "left_semi")
+        if hot_name:
+            hits = hits.unionByName(self._hot(hot_name))
+        again = met.where("old").select("fingerprint")
+        for name in self.runs["places"]:
+            hits = hits.unionByName(self.run(name).join(again.hint("merge"), "fingerprint", "left_semi"))
+        for name in self.runs["hot"]:
+            keys = self._hot(name).select("fingerprint").distinct().join(again, "fingerprint", "left_semi")
+            hits = hits.unionByName(self._hot(name).join(F.broadcast(keys), "fingerprint", "left_semi"))
+        hits = materialise(hits, "hits")
+        self.runs["keys"].append(mine)
+        self.runs["places"].append(places)
+        self.runs["hot"] += [hot_name] if hot_name else []
+        self._compact("keys", self.fan_out)
+        self._compact("places", self.fan_out**2)
+        self._commit()
+        return hits
+
+    def _compact(self, kind: str, least: int) -> None:
+        """Once there are so many runs, merge them into one; the old ones' files stay for sessions that have them open."""
+        if len(self.runs[kind]) >= least:
+            merged = functools.reduce(DataFrame.unionByName, map(self.run, self.runs[kind]))
+            merged = merged.groupBy("fingerprint").agg(F.sum("c").alias("c")) if kind == "keys" else merged.repartition("fingerprint")
+            self.runs[kind] = [self._write(merged, kind)]
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,7 +283,8 @@ def repeated(docs: DataFrame, hits: DataFrame) -> DataFrame:
     one = [F.first(c).alias(c) for c in ("doc_id", "text_key")]
     per = hits.groupBy("fingerprint", "stretch").agg(F.sum(F.size("starts")).alias("n"), F.first("n").alias("windows"), *one, F.first(F.element_at("starts", 1)).alias("start"))
     per = materialise(per.withColumn("whole", F.col("n") > 1).drop("n"), "stretches")
-    mixed = per.groupBy("fingerprint").agg(F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("lo <> hi").select("fingerprint")
+    # Written, so that both sides of the joins are shuffled by the join alone, and Spark can split a hot fingerprint.
+    mixed = materialise(per.groupBy("fingerprint").agg(F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("lo <> hi").select("fingerprint"), "mixed")
     windows = materialise(_windows(docs, per.join(mixed, "fingerprint")), "windows")
     # Windows of two stretches or more. The smallest and largest place are all there is of a group of two; only the
     # windows of larger groups are looked up again.
@@ -240,19 +297,27 @@ def repeated(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return full.unionByName(masks)
 
 
-def removals(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """doc_id, text_key, marks: for documents with repeated windows, start * 2**30 + mask of each run of windows."""
-    spark = docs.sparkSession
-    found = materialise(occurrences(docs, batches), "occurrences", "batch")
-    index = FingerprintIndex(spark)
-    for k in range(batches):
-        index.append(found.where(F.col("batch") == k))
-    hits = materialise(index.probe(found.drop("batch")), "hits")
-    marks = hits.join(repeated(docs, hits), ["fingerprint", "stretch"])
+def add_batch(index: FingerprintIndex, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, marks (start * 2**30 + mask of each run of windows) of the documents with windows that are repeated
+    within a batch or between it and earlier ones; earlier documents that a batch repeats are marked, too.
+
+    found: the occurrences of the batch. docs: the documents of the batch and of those before.
+    """
+    hits = index.add(found)
+    marks = hits.join(materialise(repeated(docs, hits), "repeated"), ["fingerprint", "stretch"])
     marks = marks.select("doc_id", "text_key", F.transform("starts", lambda s: s.cast("long") * F.lit(1 << PICKS).cast("long") + F.col("mask")).alias("m"))
     return materialise(marks.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("m")).alias("marks")), "marks")
 
 
+def removals(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, text_key, marks of the documents with repeated windows, found batch by batch (dealt by a hash)."""
+    found = materialise(occurrences(docs, batches), "occurrences", "batch")
+    index = index or FingerprintIndex(docs.sparkSession)
+    marks = [add_batch(index, found.where(F.col("batch") == k).drop("batch"), docs) for k in range(batches)]
+    all_ = functools.reduce(DataFrame.unionByName, marks)
+    return all_.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+
 def covered(n: int, marks: np.ndarray | None) -> np.ndarray:
     """Which of n words lie in a marked window."""
     edge = np.zeros(n + 1, np.int32)
@@ -266,24 +331,20 @@ def covered(n: int, marks: np.ndarray | None) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _marked(docs: DataFrame, batches: int) -> DataFrame:
-    keyed = docs.withColumn("_text_key", F.hash(F.xxhash64(_text()), F.length(_text())))
-    marks = removals(docs, batches).withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "marks": "_marks"})
-    return keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed["_text_key"] == marks["_key"]), "left")
-
-
-def _text():
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _marked(keyed: DataFrame, doc_id: str, marks: DataFrame) -> DataFrame:
+    """keyed (with text_key) and marks; null where a document has none."""
+    marks = marks.withColumnsRenamed({"doc_id": "marked_id", "text_key": "marked_key"})
+    return keyed.join(marks, keyed[doc_id].eqNullSafe(marks["marked_id"]) & (keyed["text_key"] == marks["marked_key"]), "left")
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    d = _marked(docs.select("doc_id", "text"), batches).select("doc_id", _text().alias("text"), "_marks")
+    d = _marked(texts(docs, key=True), "doc_id", removals(docs, batches)).select("doc_id", "text", "marks")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             out = []
-            for text, marks in zip(b["text"], b["_marks"]):
+            for text, marks in zip(b["text"], b["marks"]):
                 words = text.encode().split()
                 gone = 0
                 n = len(words)
@@ -301,7 +362,9 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 def drop_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     """docs, all columns and rows; from texts with repeated windows the covered words go, each with the space after it.
     n_chars, where docs has it, follows the new text."""
-    d = _marked(docs, batches)
+    d, names = renamed(docs)
+    text = whole_text(F.col(names["text"]))
+    d = _marked(d.withColumn("text_key", F.xxhash64(text)), names["doc_id"], removals(docs, batches))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
@@ -313,8 +376,9 @@ def drop_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
             out.append((t[: spans[0][0]] if spans else t) + "".join(t[a:e] for (a, _), e, x in zip(spans, ends, away) if not x))
         return pd.Series(out)
 
-    text = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(cut(_text(), F.coalesce("_marks", F.expr("cast(array() as array<bigint>)"))))
-    d = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*docs.columns)
+    new = F.when(F.col("marks").isNull(), F.col(names["text"])).otherwise(cut(text, F.coalesce("marks", F.expr("cast(array() as array<bigint>)"))))
+    d = d.withColumn(names["text"], new)
+    if "n_chars" in names:
+        n = names["n_chars"]
+        d = d.withColumn(n, F.when(F.col("marks").isNull(), F.col(n)).otherwise(F.length(names["text"]).cast(docs.schema["n_chars"].dataType)))
+    return d.select(*names.values()).toDF(*docs.columns)
