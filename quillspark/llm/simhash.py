@@ -23,17 +23,19 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, renamed, texts, whole_text
 
 #: Groups up to this many fingerprints (or pairs up to its square) are compared directly.
 DIRECT = 128
-#: Bands of minimum hashes, and hashes in each; sets in a bucket that are compared pair by pair; rounds for larger buckets.
+#: Half fingerprints in a task that makes their variants, about.
+HALVES = 20_000
+#: Bands of minimum hashes, and hashes in each; sets of a bucket that a round compares with all of it; rounds before buckets are cut finer.
 BANDS, ROWS = 32, 6
-CROWD = 32
-ROUNDS = 12
+BLOCK = 64
+COARSE = 3
 
 
 def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
@@ -75,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": fp})
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(of, f"doc_id {kind}, text_key int, fp long")
+    return d.mapInPandas(of, f"doc_id {kind}, text_key long, fp long")
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -101,7 +103,8 @@ def links(fps: DataFrame, bits: int = 2, direct: int = DIRECT) -> DataFrame:
     if not 1 <= bits <= 3:
         raise ValueError("two segments cover one to three differing bits")
     halves = materialise(_halves(fps), "simhash-halves")
-    values = halves.groupBy("half", "v").agg(F.count("*").alias("c"))
+    # Dealt by the number of halves, as each value becomes 32 rows: by its bytes alone, it would go to a few tasks.
+    values = halves.repartition(halves.count() // HALVES + 1, "half", "v").groupBy("half", "v").agg(F.count("*").alias("c"))
     wild = values.select("half", "v", "c", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
     near = (
         wild.groupBy("half", "i", _cleared(F.col("v"), F.col("i")).alias("rest"))
@@ -210,13 +213,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "sk": signed(sk), "n": np.array(n, np.int64), "fp": signed(fp), "bands": list(bands)})
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(of, f"doc_id {kind}, text_key int, sk long, n long, fp long, bands array<long>")
+    return d.mapInPandas(of, f"doc_id {kind}, text_key long, sk long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """sk, hashes (the distinct ones) of the rows wanted (_id, _key, sk), one for each sk."""
-    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), texts_key().alias("_row_key"))
-    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["_row_key"] == wanted["_key"])).select("sk", "text")
+    """sk, hashes (the distinct ones) of the rows wanted (id, key, sk), one for each sk."""
+    keyed = texts(docs, key=True)
+    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id"]) & (keyed["text_key"] == wanted["key"])).select("sk", "text")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,51 +246,47 @@ def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
     return df.select(*order)
 
 
-def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, direct: int = CROWD) -> DataFrame | None:
-    """sk of the sets to drop, so that each reaches the similarity to one that stays and no two that stay reach it.
+def _refined(crowd: DataFrame) -> DataFrame:
+    """Crowded buckets cut finer: a set is dealt by each pair of its buckets (at most BANDS of them)."""
+    both = crowd.groupBy("sk", "n").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
+    return both.select(F.explode(pairs).alias("k"), "sk", "n")
 
-    members: k, sk, n of buckets of candidates; more: other candidate pairs (a, b). By order of sk, a set stays unless it is
-    close to a smaller one that stays. Buckets of at most direct sets are compared pair by pair; in larger ones, the smallest
-    set is compared with the others and, once it stays or goes, leaves the bucket together with those close to it.
+
+def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame | None:
+    """sk of the sets to drop, so that each reaches the similarity to one that stays and no two candidates that stay reach it.
+
+    members: k, sk, n of buckets of candidates; more: other candidate pairs (a, b). By order of sk (a hash, so at random), a
+    set stays unless it is close to a smaller one that stays. Each round compares the block smallest sets of a bucket with
+    all of it; buckets no larger are then done with. From larger ones, the sets that stay or go leave, and the rest meets
+    the next round: after COARSE rounds, in buckets of two bands. So work grows with block, never with a bucket's square,
+    unless very many sets share bands and none is close to others; those, too, are compared in full, block by block.
     """
     close = materialise(_verified(more, sets, similarity), "near-close")
     crowd, dropped, rounds = members, None, 0
-    while True:
-        pairs, waiting, ready = None, None, None
+    while crowd is not None or not close.isEmpty():
+        waiting = lead = None
         if crowd is not None:
-            groups = crowd.groupBy("k").agg(F.count("*").alias("c"), F.min("sk").alias("first"), F.min_by("n", "sk").alias("first_n")).where("c > 1")
-            crowd = materialise(crowd.select("k", "sk", "n").join(groups, "k"), "near-buckets")
-            # Where many rounds have left a bucket large, its sets are hardly close to each other: all its pairs are compared.
-            few = (F.col("c") <= direct) | F.lit(rounds >= ROUNDS)
-            a = crowd.where(few).select("k", F.col("sk").alias("a"), F.col("n").alias("na"))
-            b = crowd.where(few).select("k", F.col("sk").alias("b"), F.col("n").alias("nb"))
-            pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & _close_sizes("na", "nb", similarity)).select("a", "b")
-            crowd = crowd.where(~few)
-            if crowd.isEmpty():
-                crowd = None
-            else:
-                waiting = materialise(crowd.where("sk <> first").select("sk").distinct(), "near-waiting")
-                firsts = crowd.select(F.col("first").alias("sk")).distinct()
-                ready = materialise(_without(firsts, waiting, "sk"), "near-ready")
-                led = crowd.where("sk <> first").join(ready.select(F.col("sk").alias("first")), "first", "left_semi")
-                pairs = pairs.union(led.where(_close_sizes("n", "first_n", similarity)).select(F.col("first").alias("a"), F.col("sk").alias("b")))
-            pairs = materialise(pairs.distinct(), "near-pairs")
-            close = close.union(_verified(pairs, sets, similarity)).distinct()
-            close = materialise(close, "near-close")
-        if crowd is None and close.isEmpty():
-            return dropped
-        larger = close.select(F.col("b").alias("sk")).distinct()
-        stay = _without(close.select(F.col("a").alias("sk")).distinct(), larger, "sk")
-        if waiting is not None:
-            stay = _without(stay.union(ready).distinct(), waiting, "sk")
-            stay = _without(stay, larger, "sk")
-        stay = materialise(stay, "near-stay")
+            ranked = crowd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("sk"))).where(F.col("r") <= block)
+            lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na")), "near-lead")
+            pairs = crowd.join(lead, "k").where((F.col("a") < F.col("sk")) & _close_sizes("na", "n", similarity))
+            pairs = materialise(pairs.select("a", F.col("sk").alias("b")).distinct(), "near-pairs")
+            close = materialise(close.union(_verified(pairs, sets, similarity)).distinct(), "near-close")
+            waiting = materialise(crowd.join(lead.select("k", F.col("a").alias("sk")), ["k", "sk"], "left_anti").select("k", "sk"), "near-waiting")
+        stay = close.select(F.col("a").alias("sk"))
+        if lead is not None:
+            stay = _without(stay.union(lead.select("a")), waiting.select("sk").distinct(), "sk")
+        stay = materialise(_without(stay.distinct(), close.select(F.col("b").alias("sk")).distinct(), "sk"), "near-stay")
         gone = materialise(close.join(stay.select(F.col("sk").alias("a")), "a", "left_semi").select(F.col("b").alias("sk")).distinct(), "near-gone")
         dropped = gone if dropped is None else dropped.union(gone)
         close = materialise(_without(close, gone, "a", "b"), "near-close")
-        if crowd is not None:
-            crowd = _without(crowd.select("k", "sk", "n"), gone.union(stay), "sk")
         rounds += 1
+        if crowd is not None:
+            large = waiting.select("k").distinct()
+            crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n"), gone.union(stay), "sk")
+            crowd = materialise(_refined(crowd) if rounds == COARSE else crowd, "near-buckets")
+            crowd = None if crowd.isEmpty() else crowd
+    return dropped
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, similarity: float = 0.8) -> DataFrame:
@@ -296,11 +295,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, simil
 
     Of rows with equal sets of shingles the one with the smallest doc_id stays (of rows repeating it, one; of rows without
     any doc_id, one). Candidates are fingerprints at bits or fewer differing bits, and sets that agree in one of BANDS bands
-    of ROWS minimum hashes: at a similarity of 0.8 all but 6 pairs in 100,000 are expected to; all candidates are verified.
+    of ROWS minimum hashes (in crowded buckets, two): at a similarity of 0.8 all but 7 pairs in 10,000 are expected to; all
+    candidates are verified.
     """
     rows = materialise(sketches(docs, shingle), "near-sketches")
     least = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    reps = materialise(rows.groupBy("sk").agg(F.min(least).alias("x"), F.min("fp").alias("fp"), F.min("n").alias("n")).select("sk", "n", "fp", F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_key")), "near-reps")
+    reps = rows.groupBy("sk").agg(F.min(least).alias("x"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    reps = materialise(reps.select("sk", "n", "fp", F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("key")), "near-reps")
     keys = materialise(rows.select("sk", "n", F.explode("bands").alias("k")).groupBy("k", "sk").agg(F.min("n").alias("n")), "near-keys")
     shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     members = materialise(keys.join(shared, "k"), "near-members")
@@ -308,19 +309,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, simil
     some = reps.where("n > 3")
     of = materialise(some.groupBy("fp").agg(F.min("sk").alias("first")), "near-fp")
     found = links(of.select("fp"), bits)
-    by = lambda c: of.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
-    linked = found.join(by("a"), "a").join(by("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    by = lambda c: of.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    linked = found.join(by("a"), "a").join(by("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
     same = some.join(of, "fp").where("sk <> first").select(F.col("first").alias("a"), F.col("sk").alias("b"))
     more = materialise(linked.union(same).distinct(), "near-linked")
     wanted = members.select("sk").union(more.select("a")).union(more.select("b")).distinct()
-    sets = materialise(_sets(docs, reps.join(wanted, "sk", "left_semi").select("sk", "_id", "_key"), shingle), "near-sets")
+    sets = materialise(_sets(docs, reps.join(wanted, "sk", "left_semi").select("sk", "id", "key"), shingle), "near-sets")
     gone = covered(members, more, sets, similarity)
-    keep = (reps if gone is None else _without(reps, gone, "sk")).select("_id", "_key")
-    keyed = docs.withColumn("_row_key", texts_key())
-    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_row_key"] == keep["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_key"]).select(*docs.columns)
-
-
-def texts_key() -> Column:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.hash(F.xxhash64(text), F.length(text))
+    keep = (reps if gone is None else _without(reps, gone, "sk")).select("id", "key")
+    d, names = renamed(docs)
+    keyed = d.withColumn("row_key", F.xxhash64(whole_text(F.col(names["text"]))))
+    kept = keyed.join(keep, keyed[names["doc_id"]].eqNullSafe(keep["id"]) & (keyed["row_key"] == keep["key"]), "left_semi")
+    return kept.dropDuplicates([names["doc_id"], "row_key"]).select(*names.values()).toDF(*docs.columns)
