@@ -32,10 +32,13 @@ from .common import materialise, renamed, texts, whole_text
 DIRECT = 128
 #: Half fingerprints in a task that makes their variants, about.
 HALVES = 20_000
-#: Bands of minimum hashes, and hashes in each; sets of a bucket that a round compares with all of it; rounds before buckets are cut finer.
+#: Bands of minimum hashes, and hashes in each. Sets of a small bucket, leaders of a larger one, rounds until buckets are
+#: cut finer, and leaders from then on.
 BANDS, ROWS = 32, 6
-BLOCK = 64
-COARSE = 3
+SMALL, LEADERS, COARSE, BLOCK = 8, 1, 3, 32
+#: Bits of 64 in which the fingerprints of such candidates may differ: 9.6 do on average at a similarity of 0.8, and more
+#: than 20 in 2 of 10,000 pairs.
+APART = 20
 
 
 def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
@@ -248,28 +251,32 @@ def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
 
 def _refined(crowd: DataFrame) -> DataFrame:
     """Crowded buckets cut finer: a set is dealt by each pair of its buckets (at most BANDS of them)."""
-    both = crowd.groupBy("sk", "n").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    both = crowd.groupBy("sk", "n", "fp").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    return both.select(F.explode(pairs).alias("k"), "sk", "n")
+    return both.select(F.explode(pairs).alias("k"), "sk", "n", "fp")
 
 
 def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame | None:
     """sk of the sets to drop, so that each reaches the similarity to one that stays and no two candidates that stay reach it.
 
-    members: k, sk, n of buckets of candidates; more: other candidate pairs (a, b). By order of sk (a hash, so at random), a
-    set stays unless it is close to a smaller one that stays. Each round compares the block smallest sets of a bucket with
-    all of it; buckets no larger are then done with. From larger ones, the sets that stay or go leave, and the rest meets
-    the next round: after COARSE rounds, in buckets of two bands. So work grows with block, never with a bucket's square,
-    unless very many sets share bands and none is close to others; those, too, are compared in full, block by block.
+    members: k, sk, n, fp of buckets of candidates; more: other candidate pairs (a, b). By order of sk, a
+    set stays unless it is close to a smaller one that stays. A round compares all sets of buckets of up to SMALL, which are
+    then done with, and in larger ones the LEADERS smallest with all. The sets that stay or go leave, and so groups of copies
+    do; what is left meets the next round, after COARSE rounds in buckets of two bands, block sets of each with all. So work
+    never grows with a bucket's square unless very many sets share two bands and none is close to others; those, too, are
+    compared in full, block by block.
     """
     close = materialise(_verified(more, sets, similarity), "near-close")
     crowd, dropped, rounds = members, None, 0
     while crowd is not None or not close.isEmpty():
         waiting = lead = None
         if crowd is not None:
-            ranked = crowd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("sk"))).where(F.col("r") <= block)
-            lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na")), "near-lead")
-            pairs = crowd.join(lead, "k").where((F.col("a") < F.col("sk")) & _close_sizes("na", "n", similarity))
+            least, few = (SMALL, LEADERS) if rounds < COARSE else (block, block)
+            ranked = crowd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("sk"))).where(F.col("r") <= least + 1)
+            ranked = ranked.withColumn("c", F.max("r").over(Window.partitionBy("k"))).where((F.col("c") <= least) | (F.col("r") <= few))
+            lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fpa")), "near-lead")
+            likely = _close_sizes("na", "n", similarity) & (_apart(F.col("fpa"), F.col("fp")) <= APART)
+            pairs = crowd.join(lead, "k").where((F.col("a") < F.col("sk")) & likely)
             pairs = materialise(pairs.select("a", F.col("sk").alias("b")).distinct(), "near-pairs")
             close = materialise(close.union(_verified(pairs, sets, similarity)).distinct(), "near-close")
             waiting = materialise(crowd.join(lead.select("k", F.col("a").alias("sk")), ["k", "sk"], "left_anti").select("k", "sk"), "near-waiting")
@@ -283,7 +290,7 @@ def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: fl
         rounds += 1
         if crowd is not None:
             large = waiting.select("k").distinct()
-            crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n"), gone.union(stay), "sk")
+            crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n", "fp"), gone.union(stay), "sk")
             crowd = materialise(_refined(crowd) if rounds == COARSE else crowd, "near-buckets")
             crowd = None if crowd.isEmpty() else crowd
     return dropped
@@ -293,18 +300,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, simil
     """docs, all columns, without near copies: each row that goes has a Jaccard similarity of distinct shingles of at least
     similarity to one that stays, and none of the candidate pairs that stay reaches it.
 
+    A set yields to those that share more bands with others (then, to a smaller hash).
     Of rows with equal sets of shingles the one with the smallest doc_id stays (of rows repeating it, one; of rows without
     any doc_id, one). Candidates are fingerprints at bits or fewer differing bits, and sets that agree in one of BANDS bands
-    of ROWS minimum hashes (in crowded buckets, two): at a similarity of 0.8 all but 7 pairs in 10,000 are expected to; all
-    candidates are verified.
+    of ROWS minimum hashes (in crowded buckets, two) and whose fingerprints differ in APART bits at most: at a similarity
+    of 0.8, all but 9 pairs in 10,000 are expected to; all candidates are verified.
     """
     rows = materialise(sketches(docs, shingle), "near-sketches")
     least = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     reps = rows.groupBy("sk").agg(F.min(least).alias("x"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     reps = materialise(reps.select("sk", "n", "fp", F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("key")), "near-reps")
-    keys = materialise(rows.select("sk", "n", F.explode("bands").alias("k")).groupBy("k", "sk").agg(F.min("n").alias("n")), "near-keys")
-    shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    members = materialise(keys.join(shared, "k"), "near-members")
+    keys = rows.select("sk", "n", "fp", F.explode("bands").alias("k")).groupBy("k", "sk").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    keys = materialise(keys, "near-keys")
+    members = materialise(keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "k"), "near-members")
     # One set stands for each fingerprint; sets with the same fingerprint are candidates with it, too.
     some = reps.where("n > 3")
     of = materialise(some.groupBy("fp").agg(F.min("sk").alias("first")), "near-fp")
@@ -314,9 +322,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, simil
     same = some.join(of, "fp").where("sk <> first").select(F.col("first").alias("a"), F.col("sk").alias("b"))
     more = materialise(linked.union(same).distinct(), "near-linked")
     wanted = members.select("sk").union(more.select("a")).union(more.select("b")).distinct()
-    sets = materialise(_sets(docs, reps.join(wanted, "sk", "left_semi").select("sk", "id", "key"), shingle), "near-sets")
-    gone = covered(members, more, sets, similarity)
-    keep = (reps if gone is None else _without(reps, gone, "sk")).select("id", "key")
+    # Sets that share most with others come first: those that most copies stem from, or are close to, cover them at once.
+    order = wanted.join(members.groupBy("sk").agg(F.sum("c").alias("c")), "sk", "left")
+    order = materialise(order.select("sk", F.struct((-F.coalesce("c", F.lit(0))).alias("first"), "sk").alias("o")), "near-order")
+    ordered = lambda df, c: df.join(order.withColumnsRenamed({"sk": c, "o": f"o_{c}"}), c).drop(c).withColumnRenamed(f"o_{c}", c)
+    sets = ordered(_sets(docs, reps.join(wanted, "sk", "left_semi").select("sk", "id", "key"), shingle), "sk")
+    more = ordered(ordered(more, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    gone = covered(ordered(members.drop("c"), "sk"), more, materialise(sets, "near-sets"), similarity)
+    keep = (reps if gone is None else _without(reps, gone.select("sk.sk"), "sk")).select("id", "key")
     d, names = renamed(docs)
     keyed = d.withColumn("row_key", F.xxhash64(whole_text(F.col(names["text"]))))
     kept = keyed.join(keep, keyed[names["doc_id"]].eqNullSafe(keep["id"]) & (keyed["row_key"] == keep["key"]), "left_semi")
