@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import editing as E
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
@@ -63,9 +64,10 @@ def txt_08_rows_to_table(spark, sf_dir):
     return rows.select(F.lit("nation").alias("name"), T.table_markdown(cells).alias("markdown"))
 
 
-@_query("SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM conversations")
+@_query("SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '> end' AS quoted FROM conversations")
 def txt_11_blockquote(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.blockquote(F.col("text")).alias("quoted"))
+    """Every turn and a last line, parted as Windows does."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.blockquote(F.concat("text", F.lit("\r\nend"))).alias("quoted"))
 
 
 @_query(r"""SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '-', 'g') AS segment FROM pages""")
@@ -135,9 +137,9 @@ def snk_02_section(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", section.alias("section"))
 
 
-@_query(f"""SELECT page_id, concat_ws(chr(10), '---', 'title: "' || replace({_DECODED_SQL}, '"', '\\"') || '"', 'url: ' || url, 'depth: 0', 'wordCount: ' || length(html), '---') AS front FROM pages""")
+@_query(f"""SELECT page_id, concat_ws(chr(10), '---', 'title: "' || replace({_DECODED_SQL}, '"', '\\"') || '"', 'url: "' || url || '"', 'depth: 0', 'wordCount: ' || length(html), '---', '', '_No markdown extracted._', '') AS front FROM pages""")
 def snk_03_front_matter(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", O.front_matter(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.length("html")).alias("front"))
+    return _table(spark, sf_dir, "pages").select("page_id", O.mirror_file(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.length("html"), F.lit("")).alias("front"))
 
 
 @_query()
@@ -147,10 +149,16 @@ def snk_04_jsonl(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", line.alias("line"))
 
 
-@_query("SELECT doc_id || '.' || lang AS filename, '' AS markdown, CAST(doc_id AS VARCHAR) AS title, 'Unsupported file format: .' || lang AS warnings FROM documents")
+_ENDINGS = [*S.SUPPORTED, "xyz", ""]
+
+
+@_query(f"""WITH e AS (SELECT doc_id, text, list_extract([{", ".join(f"'{x}'" for x in _ENDINGS)}], 1 + CAST(doc_id % {len(_ENDINGS)} AS INT)) AS ext FROM documents)
+SELECT doc_id || '.' || upper(ext) AS filename, CASE WHEN ext IN ('txt', 'md', 'markdown', 'mdx') THEN text ELSE '' END AS markdown, CASE WHEN ext = '' THEN doc_id || '' ELSE CAST(doc_id AS VARCHAR) END AS title,
+ CASE WHEN ext = 'xyz' THEN 'Unsupported file format: .xyz' WHEN ext = '' THEN 'Unsupported file format: .unknown' WHEN ext IN ('txt', 'md', 'markdown', 'mdx') THEN '' ELSE 'No reader for files of this format: .' || ext END AS warnings FROM e WHERE ext NOT IN ('csv', 'rtf')""")
 def src_01_dispatch(spark, sf_dir):
-    """Documents as files with their language for an extension: none has a handler."""
-    files = _table(spark, sf_dir, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("filename"), "text")
+    """Documents dealt over all endings, one that is unknown and none; csv and rtf have queries of their own."""
+    ext = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    files = _table(spark, sf_dir, "documents").where(~ext.isin("csv", "rtf")).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.upper(ext)).alias("filename"), "text")
     return S.convert(files).withColumn("warnings", F.array_join("warnings", "; "))
 
 
@@ -167,17 +175,17 @@ def src_09_csv(spark, sf_dir):
     return S.convert(files).select(F.col("title").cast("long").alias("c_custkey"), "markdown")
 
 
-@_query("SELECT conv_id, string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id")
+@_query("SELECT conv_id, string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id UNION ALL SELECT conv_id, any_value(text) FROM conversations GROUP BY conv_id HAVING count(*) = 1")
 def src_12_pdf_assembly(spark, sf_dir):
     """Turns of a conversation as the pages of a PDF."""
-    pages = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p")).where(F.size("p") > 1)
+    pages = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
     return pages.select("conv_id", T.pdf_markdown(F.col("p.text")).alias("markdown"))
 
 
-@_query("SELECT p_partkey, '| ' || p_name || ' | ' || p_size || '.0 | ' || p_size || ' | 0 | ' || p_size || ' | 1 |' AS row FROM part")
+@_query("SELECT p_partkey, '| ' || p_name || ' | ' || p_size || '.0 | ' || p_size || ' | -3 | ' || p_size || ' | 1 |' AS row FROM part")
 def src_21_word_boxes(spark, sf_dir):
     """Parts as OCR words; the last row of each layout table."""
-    box = F.struct(F.col("p_size").cast("double").alias("x0"), F.lit(-0.25).cast("double").alias("y0"), (F.col("p_size") * 2).cast("double").alias("x1"), F.lit(0.75).cast("double").alias("y1"))
+    box = F.struct(F.col("p_size").cast("double").alias("x0"), F.lit(-3.0).alias("y0"), (F.col("p_size") * 2).cast("double").alias("x1"), F.lit(-2.0).alias("y1"))
     words = F.array(F.struct(F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("confidence"), box.alias("bbox")))
     return _table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split(T.layout_table(T.word_boxes(words)), "\n"), -1).alias("row"))
 
@@ -194,9 +202,9 @@ def ctl_06_status_counts(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
-@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<span class="pbw-md-code">\1</span>', 'g'), '(\[[^\]]+\]\([^)]+\))', '<span class="pbw-md-link">\1</span>', 'g') AS html FROM documents""")
+@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace('`co<de>` ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<span class="pbw-md-code">`\1`</span>', 'g'), '(\[[^\]]+\]\([^)]+\))', '<span class="pbw-md-link">\1</span>', 'g') AS html FROM documents""")
 def txt_17_inline(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.highlight_inline(F.col("text")).alias("html"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.highlight_inline(F.concat(F.lit("`co<de>` "), "text")).alias("html"))
 
 
 @_query(r"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS words FROM documents)
@@ -249,6 +257,63 @@ def ext_08_region_merge(spark, sf_dir):
     return picks.select("conv_id", F.array_join("p.text", "\n").alias("html"), F.size("p").cast("long").alias("regions"))
 
 
+@_query("""SELECT c_custkey, 'Name: ' || c_name || chr(10) || chr(10) || ' caf' || chr(233) || ' ' || chr(128512) || ' ' || c_mktsegment || chr(10) || 'end' AS text FROM customer""")
+def src_17_rtf(spark, sf_dir):
+    """One small RTF file for each customer: a paragraph, characters by byte and by UTF-16 unit, escaped braces (which go with the others) and a line."""
+    raw = F.concat(F.lit("{\\rtf1\\ansi{\\b Name: "), "c_name", F.lit("}\\par caf\\'e9 \\u-10179?\\u-8704? \\{"), "c_mktsegment", F.lit("\\}\\line{}end}"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.rtf_text(raw).alias("text"))
+
+
+@_query("""SELECT c_custkey, c_name || ', "x"' || chr(10) || 'y' || '|' || '' || '|' || c_mktsegment || '|' || chr(57344) AS cells FROM customer""")
+def txt_06_csv(spark, sf_dir):
+    """Quoted commas, quotes and line breaks, empty cells and blank rows, and a character from the private area."""
+    raw = F.concat(F.lit('"'), "c_name", F.lit(', ""x""\ny", ,'), "c_mktsegment", F.lit(" \r\n , \n\ue000"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.flatten(T.csv_rows(raw)), "|").alias("cells"))
+
+
+@_query("SELECT doc_id, '<p>' || (CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END) AS raw, 1000 <= length(text) AND (length(text) // 4) < length(text) * 0.3 AS collapsed FROM documents")
+def ext_03_over_collapsed(spark, sf_dir):
+    kept = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<p>"), kept).alias("raw"), T.over_collapsed(F.length("text"), F.floor(F.length("text") / 4)).alias("collapsed"))
+
+
+@_query("SELECT doc_id, '  ' || replace(text, chr(10), chr(10) || '  ') AS text FROM documents")
+def edt_04_indent(spark, sf_dir):
+    """All lines of every text indented by two."""
+    return _table(spark, sf_dir, "documents").select("doc_id", E.indent_lines(F.col("text"), F.lit(0), F.length("text"), 2)["text"].alias("text"))
+
+
+@_query("SELECT page_id, 'http_' || length(url) || '.test' || '.crawl.jsonl' AS output, '# ' || page_id || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || '_No markdown generated._' || chr(10) AS document FROM pages")
+def url_13_output(spark, sf_dir):
+    host = F.concat(F.lit("http:"), F.length("url").cast("string"), F.lit(".test"))
+    document = O.widget_document(F.col("page_id").cast("string"), F.col("url"), F.lit(""))
+    return _table(spark, sf_dir, "pages").select("page_id", U.default_output(host, "jsonl").alias("output"), document.alias("document"))
+
+
+@_query("SELECT p_partkey AS page_id, 'http://site.test/q/' || p_partkey AS url FROM part WHERE p_partkey IN (SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 13)")
+def crw_03_seed_order(spark, sf_dir):
+    """Every part is a seed, the last ones first; the page budget of 13 takes them in the order of their numbers."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("http://site.test/q/"), F.col("p_partkey").cast("string")).alias("url"))
+    seeds = part.select(F.lit("http://site.test/").alias("root"), "url", F.lit("sitemap").alias("source"), (F.lit(1_000_000_000) - F.col("page_id")).alias("seq"))
+    links = part.select(F.col("url").alias("src"), F.lit(0).alias("pos"), F.col("url").alias("dst")).limit(0)
+    return C.crawl(seeds, part.select("url"), links, C.CrawlOptions(max_pages=13)).join(part, "url").select("page_id", "url")
+
+
+@_query("""SELECT 'http://site.test/' AS root, 0 AS part, 0 AS place, '# Site: site.test - Crawl Output' || chr(10) || 'Crawled: then | Pages: ' || count(*) || ' | Start URL: http://site.test/' || chr(10) || chr(10) || '## Table of Contents' AS text FROM documents
+UNION ALL SELECT 'http://site.test/', 1, doc_id, '- [T' || doc_id || '](http://site.test/' || doc_id || ')' FROM documents
+UNION ALL SELECT 'http://site.test/', 2, 0, chr(10) || '---' || chr(10)
+UNION ALL SELECT 'http://site.test/', 3, doc_id, concat_ws(chr(10), '# Page: http://site.test/' || doc_id, '**Title:** T' || doc_id, '**URL:** http://site.test/' || doc_id, '**Depth:** 1', '**Word Count:** ' || n_chars, '**Fetched At:** now', '**Warnings:** a; b', '', CASE WHEN text = '' THEN '_No markdown extracted._' ELSE text END)
+ || CASE WHEN doc_id < (SELECT max(doc_id) FROM documents) THEN chr(10) || chr(10) || '---' || chr(10) ELSE '' END FROM documents""")
+def snk_01_site_document(spark, sf_dir):
+    """All documents as the pages of one site."""
+    url = F.concat(F.lit("http://site.test/"), F.col("doc_id").cast("string"))
+    records = _table(spark, sf_dir, "documents").select(
+        F.lit("http://site.test/").alias("root"), F.col("doc_id").alias("place"), url.alias("url"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.lit(1).alias("depth"),
+        F.col("n_chars").alias("words"), F.lit("now").alias("fetched_at"), F.array(F.lit("a"), F.lit("b")).alias("warnings"), F.col("text").alias("markdown"),
+    )
+    return O.site_document(records, "then")
+
+
 def _derived_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of one site and links by arithmetic, as no page of the tables links to another: from p, at places 0 to 2, to
     (7 p + 13 k + 1) mod the number of pages."""
@@ -256,7 +321,7 @@ def _derived_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = pages.agg(F.max("page_id") + 1).first()[0]
     url = lambda p: F.concat(F.lit("http://site.test/p/"), p.cast("string"))
     links = pages.select(url(F.col("page_id")).alias("src"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.col("page_id") * 7 + k * 13 + 1, F.lit(n)))).alias("pos", "to"))
-    seeds = pages.where("page_id = 0").select(url(F.lit(0)).alias("root"), url(F.lit(0)).alias("url"), F.lit("seed").alias("source"), F.lit("0").alias("seq"))
+    seeds = pages.where("page_id = 0").select(url(F.lit(0)).alias("root"), url(F.lit(0)).alias("url"), F.lit("seed").alias("source"), F.lit(0).alias("seq"))
     return seeds, pages.select(url(F.col("page_id")).alias("url")), links.select("src", "pos", url(F.col("to")).alias("dst"))
 
 

@@ -1,15 +1,17 @@
-"""URL, link and sitemap functions."""
+"""URL, link and sitemap functions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, decode_entities, trim_all
+from .text import WS, decode_entities, safe_segment, trim_all
 
 _PARTS = r"^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)"
-# Fixed value: an anchor's href in double, single or no quotes.
-LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+# An anchor's href in double, single or no quotes; a title element; a sitemap's address.
+LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+))"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 LOC = r"(?i)<loc>\s*([^<]+)</loc>"
 
@@ -18,7 +20,7 @@ def _dots(path: Column) -> Column:
     """A path with . and .. segments resolved."""
     segments = F.split(path, "/")
     stack = F.aggregate(
-        F.slice(segments, 2, 10_000), F.expr("cast(array() as array<string>)"),
+        F.slice(segments, F.lit(2), F.size(segments)), F.expr("cast(array() as array<string>)"),
         lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
     )
     last = F.element_at(segments, -1)
@@ -69,13 +71,24 @@ def included(url: Column, include: list[str] = [], exclude: list[str] = []) -> C
     return out & any_of(include) if include else out
 
 
+def checked(patterns: list[str]) -> list[str]:
+    """The patterns, once all of them are known to compile: before any page is read."""
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error as e:
+            raise ValueError(f"invalid pattern {p!r}: {e}") from e
+    return patterns
+
+
 def split_patterns(s: str) -> list[str]:
     return [p.strip() for p in s.split(",") if p.strip()]
 
 
 def hrefs(html: Column) -> Column:
     """Link targets in document order, repeats included; empty ones, fragments and mailto, tel, javascript and data left out."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda a: F.coalesce(*(F.nullif(F.regexp_extract(a, LINK, k), F.lit("")) for k in (1, 2, 3)), F.lit("")))
+    ways = [F.regexp_extract_all(html, F.lit(LINK), F.lit(k)) for k in (1, 2, 3)]  # of the three groups, one has text
+    found = F.transform(F.arrays_zip(*(w.alias(f"w{k}") for k, w in enumerate(ways))), lambda x: F.concat(x["w0"], x["w1"], x["w2"]))
     return F.filter(F.transform(found, trim_all), lambda h: (h != "") & ~h.rlike("(?i)^(?:#|mailto:|tel:|javascript:|data:)"))
 
 
@@ -99,12 +112,31 @@ def is_sitemap(url: Column) -> Column:
 def mirror_path(url: Column) -> Column:
     """Path of a page's Markdown file: index.md for a root or a directory, else the name with .md for its extension."""
     segments = F.filter(F.split(F.regexp_extract(url, f"(?i){_PARTS}", 4), "/"), lambda s: s != "")
-    safe = F.transform(segments, lambda s: F.regexp_replace(s, r'[<>:"/\\|?*\x00-\x1F]', "-"))
+    safe = F.transform(segments, safe_segment)
     last = F.element_at(safe, -1)
     folder = F.concat(F.array_join(safe, "/"), F.lit("/index.md"))
-    named = F.array_join(F.concat(F.slice(safe, F.lit(1), F.size(safe) - 1), F.array(F.concat(F.regexp_replace(last, r"\.[^.]*$", ""), F.lit(".md")))), "/")
+    named = F.array_join(F.concat(F.slice(safe, F.lit(1), F.size(safe) - 1), F.array(F.concat(F.regexp_replace(last, r"\.[^.]+$", ""), F.lit(".md")))), "/")
     return F.when(F.size(segments) == 0, "index.md").when(last.contains("."), named).otherwise(folder)
 
 
 def is_page_type(content_type: Column) -> Column:
     return content_type.rlike("(?i)html|xml")
+
+
+def default_output(host: Column, mode: str) -> Column:
+    """Name of a crawl's output, by host and mode: single, mirror or jsonl."""
+    ending = {"single": ".crawl.md", "jsonl": ".crawl.jsonl"}.get(mode, ".crawl")
+    return F.concat(F.regexp_replace(host, "(?i)[^a-z0-9.-]", "_"), F.lit(ending))
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, f"(?i){_PARTS}", 2))
+
+
+def image_source(src: Column) -> Column:
+    """src (null for none), url (with a scheme) and content (bytes of a data: address) of an image's address."""
+    url = F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).otherwise(F.nullif(src, F.lit("")))
+    data = F.regexp_extract(url, r"(?is)^data:[^,]*,(.*)$", 1)
+    plain = F.encode(F.try_url_decode(F.replace(data, F.lit("+"), F.lit("%2B"))), "UTF-8")
+    content = F.when(url.rlike(r"(?i)^data:[^,]*;base64,"), F.try_to_binary(data, F.lit("base64"))).when(url.rlike("(?i)^data:"), plain)
+    return F.struct(url.alias("url"), content.alias("content"))

@@ -1,18 +1,19 @@
-"""Crawling a table of pages as a breadth-first search of joins.
+"""Crawling a table of pages as a breadth-first search of joins.
 
 The pages table stands for the web: url (normalised), html and, where it has them, status and
 content_type. Links are a table of (src, pos, dst). Each level is one join with the links, an
 anti-join with what was seen and a first-wins choice; it is written before the next, so lineage stays
-short. The driver holds no URLs, only counts.
+short. A site whose page budget is used up leaves the search, so no level holds more than the links of
+max_pages pages a site. The driver holds no URLs, only counts.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -20,16 +21,32 @@ from ..functions import urls as U
 
 @dataclass(frozen=True)
 class CrawlOptions:
+    """Patterns are lists parted by commas, checked when the options are made; a page with fewer than min_words is no record."""
+
     max_pages: int = 300
     max_depth: int = 4
+    max_sitemaps: int = 20
     min_words: int = 0
-    include: list[str] = field(default_factory=list)
-    exclude: list[str] = field(default_factory=list)
+    include: str = ""
+    exclude: str = ""
+
+    def __post_init__(self):
+        for name, least in (("max_pages", 1), ("max_depth", 0), ("max_sitemaps", 0), ("min_words", 0)):
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} must be {least} or more")
+        U.checked(U.split_patterns(self.include) + U.split_patterns(self.exclude))
+
+    def allows(self, url: Column) -> Column:
+        return U.included(url, U.split_patterns(self.include), U.split_patterns(self.exclude))
 
 
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
     path = f"{folder}/crawl-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,46 +55,122 @@ def _written(df: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """src, pos, dst: the normalised links of each page, in document order."""
     rows = pages.select(F.col("url").alias("src"), F.posexplode(U.hrefs(F.col("html"))).alias("pos", "href"))
-    return rows.select("src", "pos", U.normalise(F.col("href"), F.col("src")).alias("dst")).where("dst is not null")
+    # Written before it is filtered: a condition would be moved below and repeat the long expression for every use.
+    return _written(rows.select("src", "pos", U.normalise(F.col("href"), F.col("src")).alias("dst"))).where("dst is not null")
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
-    """root, url, depth, source, seq: pages of each seed's site in visiting order, at most max_pages of each site.
+def _place(n: Column) -> Column:
+    """A number as text that sorts as the number does."""
+    return F.lpad(n.cast("string"), 10, "0")
+
+
+def _within(rows: DataFrame, counts: DataFrame | None, most: int) -> DataFrame:
+    """The first rows of each root, by seq and url, that its budget has room for after counts (root, n)."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("seq", "url"))).where(F.col("rank") <= most)
+    if counts is not None:
+        ranked = ranked.join(counts, "root", "left").where(F.col("rank") + F.coalesce("n", F.lit(0)) <= most).drop("n")
+    return ranked.drop("rank")
+
+
+def _added(counts: DataFrame | None, rows: DataFrame) -> DataFrame:
+    now = rows.groupBy("root").agg(F.count("*").alias("n"))
+    return _written(now if counts is None else counts.union(now).groupBy("root").agg(F.sum("n").alias("n")))
+
 
-    seeds: root (a start URL; each is crawled for itself), url, source, seq (place in the queue). seq orders pages within a
-    depth; pages that are missing or not HTML take no place in the budget, pages with too few words do.
+def sitemap_pages(roots: DataFrame, files: DataFrame, options: CrawlOptions = CrawlOptions()) -> tuple[DataFrame, DataFrame]:
+    """(root, url, seq) of the pages that each root's sitemaps name, in the order they are found, and (root, warning).
+
+    files: url (normalised), html and, where it has it, status. /sitemap.xml comes first, nested sitemaps after it, at most
+    max_sitemaps of a root (missing ones count); addresses of other origins are passed over.
+    """
+    ok = F.col("status").between(200, 299) if "status" in files.columns else F.lit(True)
+    bodies = files.where(ok).select(F.col("url").alias("file"), F.col("html").alias("body"))
+    level = roots.select("root", F.concat(U.origin(F.col("root")), F.lit("/sitemap.xml")).alias("url"), _place(F.lit(0)).alias("seq")).distinct()
+    seen, counts, pages, levels = None, None, None, 0
+    while True:
+        level = level.groupBy("root", "url").agg(F.min("seq").alias("seq"))
+        level = level if seen is None else level.join(seen, ["root", "url"], "left_anti")
+        level = _written(_within(level, counts, options.max_sitemaps))
+        if level.isEmpty():
+            break
+        seen = level.select("root", "url") if seen is None else seen.union(level.select("root", "url"))
+        counts = _added(counts, level)
+        locs = level.join(bodies, level["url"] == bodies["file"]).select("root", "seq", F.posexplode(U.sitemap_locs(F.col("body"))).alias("pos", "loc"))
+        locs = locs.select("root", U.normalise(F.col("loc"), F.col("root")).alias("url"), F.concat_ws("/", "seq", _place(F.col("pos"))).alias("seq"))
+        locs = _written(locs).where(U.is_internal(F.col("url"), F.col("root")))
+        # Sitemaps are read level by level, so what an earlier level names comes first.
+        named = locs.where(~U.is_sitemap(F.col("url"))).withColumn("seq", F.concat_ws("/", _place(F.lit(levels)), "seq"))
+        levels += 1
+        pages = named if pages is None else pages.union(named)
+        level = locs.where(U.is_sitemap(F.col("url")))
+    none = roots.select("root", F.lit("").alias("url"), F.lit("").alias("seq")).limit(0)
+    found = (none if pages is None else pages).groupBy("root", "url").agg(F.min("seq").alias("seq"))
+    stopped = F.lit(f"Stopped sitemap traversal after {options.max_sitemaps} sitemap files.")
+    full = roots.select("root").distinct() if options.max_sitemaps == 0 else counts.where(F.col("n") >= options.max_sitemaps)
+    return found, full.select("root", stopped.alias("warning"))
+
+
+def queue(roots: DataFrame, sitemap: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
+    """root, url, source, seq: what a crawl begins with, the pages of sitemaps (root, url, seq) first, the start URL last
+    unless one of them names it."""
+    named = sitemap.where(options.allows(F.col("url"))).select("root", "url", F.lit("sitemap").alias("source"), F.concat(F.lit("0/"), "seq").alias("seq"))
+    start = roots.select("root", U.normalise(F.col("root"), F.col("root")).alias("url"), F.lit("seed").alias("source"), F.lit("1").alias("seq")).distinct()
+    start = _written(start).where("url is not null")
+    return named.union(start.join(named, ["root", "url"], "left_anti"))
+
+
+def visit(seeds: DataFrame, pages: DataFrame, links: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
+    """root, url, depth, source, seq, status, warning of what a crawl of each root's site fetches; warning is null for the
+    pages that count, at most max_pages of a site. By depth and seq they stand in visiting order.
+
+    seeds: root (each is crawled for itself), url, source, seq (place in the queue, a number or text that sorts).
     """
-    fetched = pages.select(F.col("url").alias("_page"), *(c for c in ("status", "content_type") if c in pages.columns))
-    ok = F.lit(True)
-    if "status" in pages.columns:
-        ok = ok & (F.col("status") == 200)
-    if "content_type" in pages.columns:
-        ok = ok & U.is_page_type(F.col("content_type"))
-    level = seeds.select("root", "url", F.lit(0).alias("depth"), "source", F.col("seq").cast("string").alias("seq"))
-    seen, found = None, None
+    kind = dict(seeds.dtypes)["seq"]
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    fetched = pages.select(F.col("url").alias("page"), status.cast("int").alias("status"), *(["content_type"] if "content_type" in pages.columns else []))
+    content = F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")
+    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    reason = F.when(F.coalesce("status", F.lit(0)) == 0, "error").otherwise(F.col("status").cast("string"))
+    warning = (
+        F.when(~ok, F.format_string("Skipping %s (HTTP %s).", "url", reason))
+        .when(~F.coalesce(U.is_page_type(content), F.lit(False)), F.format_string("Skipping %s (non-HTML content type: %s).", "url", F.coalesce(content, F.lit(""))))
+    )
+    seq = F.col("seq") if kind == "string" else _place(F.col("seq"))
+    level = seeds.select("root", "url", F.lit(0).alias("depth"), "source", seq.alias("seq"))
+    seen, counts, out = None, None, None
     for depth in range(options.max_depth + 1):
-        wanted = level.where(U.is_internal(F.col("url"), F.col("root")) & U.included(F.col("url"), options.include, options.exclude))
+        wanted = level.where(U.is_internal(F.col("url"), F.col("root")) & options.allows(F.col("url")))
         first = wanted.groupBy("root", "url").agg(F.min_by(F.struct("depth", "source", "seq"), "seq").alias("x")).select("root", "url", "x.*")
         if seen is not None:
-            first = first.join(seen, ["root", "url"], "left_anti")
+            first = first.join(seen, ["root", "url"], "left_anti").join(counts.where(F.col("n") >= options.max_pages), "root", "left_anti")
         first = _written(first)
         if first.isEmpty():
             break
         seen = first.select("root", "url") if seen is None else seen.union(first.select("root", "url"))
-        here = first.join(fetched.where(ok), first["url"] == fetched["_page"]).select("root", "url", "depth", "source", "seq")
-        found = here if found is None else found.union(here)
+        here = first.join(fetched, first["url"] == fetched["page"], "left").select("root", "url", "depth", "source", "seq", "status", warning.alias("warning"))
+        here = _written(here)
+        kept = _written(_within(here.where("warning is null"), counts, options.max_pages))
+        counts = _added(counts, kept)
+        # Where the budget ends within this level, nothing behind the last page that counts is fetched.
+        last = kept.groupBy("root").agg(F.max(F.struct("seq", "url")).alias("last")).join(counts.where(F.col("n") >= options.max_pages).select("root"), "root")
+        failed = here.where("warning is not null").join(last, "root", "left").where(F.col("last").isNull() | (F.struct("seq", "url") < F.col("last"))).drop("last")
+        now = kept.union(failed)
+        out = now if out is None else out.union(now)
         if depth < options.max_depth:
-            # A link's place is its page's place, then its own: padded, so strings sort as numbers do.
-            place = F.concat_ws("/", "seq", F.lpad(F.col("pos").cast("string"), 8, "0"))
-            level = here.join(links, here["url"] == links["src"]).select("root", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.lit("link").alias("source"), place.alias("seq"))
-    if found is None:
-        return level.limit(0)
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("depth", "seq", "url")))
-    return ranked.where(F.col("n") <= options.max_pages).drop("n")
-
-
-def failures(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """url, warning of queued pages (url) that the pages table (url, status) lacks or holds with another status than 200."""
-    joined = found.select("url").distinct().join(pages.select("url", "status"), "url", "left")
-    reason = F.when(F.col("status").isNull() | (F.col("status") == 0), "error").otherwise(F.col("status").cast("string"))
-    return joined.where(~F.coalesce(F.col("status") == 200, F.lit(False))).select("url", F.format_string("Skipping %s (HTTP %s).", "url", reason).alias("warning"))
+            # A link's place is its page's place, then its own.
+            place = F.concat_ws("/", "seq", _place(F.col("pos")))
+            level = kept.join(links, kept["url"] == links["src"]).select("root", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.lit("link").alias("source"), place.alias("seq"))
+    if out is None:
+        return level.limit(0).withColumns({"status": F.lit(None).cast("int"), "warning": F.lit(None).cast("string")})
+    return out
+
+
+def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
+    """root, url, depth, source, seq of the pages that count, as visit() finds them."""
+    return visit(seeds, pages, links, options).where("warning is null").drop("status", "warning")
+
+
+def short_pages(words: DataFrame, options: CrawlOptions) -> DataFrame:
+    """words (url, words and others) with a warning for the pages that are too short to be records, null for the others."""
+    text = F.concat(F.lit("Skipping "), "url", F.lit(" (content too short: "), F.col("words").cast("string"), F.lit(f" words, min {options.min_words})."))
+    return words.withColumn("warning", F.when(F.col("words") < options.min_words, text))

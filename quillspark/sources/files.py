@@ -1,4 +1,4 @@
-"""Tables of files and the choice of handlers."""
+"""Tables of files and the choice of handlers."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ HANDLERS = {
     "docx": "docx", "pdf": "pdf", "xlsx": "xlsx", "epub": "epub", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image",
     "webp": "image", "bmp": "image", "tif": "image", "tiff": "image",
 }
+SUPPORTED = list(HANDLERS)
+FILE_INPUT_ACCEPT = ",".join(f".{x}" for x in SUPPORTED)
 READ_AS_TEXT = ["txt", "md", "markdown", "mdx", "html", "htm", "csv", "rtf"]
 
 
@@ -20,7 +22,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """filename, text and content (binary) of files: text is null for binary formats."""
     files = spark.read.format("binaryFile").load(path)
     name = T.base_name(F.col("path"))
-    text = F.when(T.file_extension(name).isin(READ_AS_TEXT), F.decode("content", F.lit("UTF-8")))
+    text = F.when(T.file_extension(name).isin(READ_AS_TEXT), T.to_text(F.col("content")))
     return files.select(name.alias("filename"), text.alias("text"), "content")
 
 
@@ -31,9 +33,12 @@ def handler(filename: Column) -> Column:
 
 
 def convert(files: DataFrame, passthrough: bool = False) -> DataFrame:
-    """filename, markdown, title, warnings (array) for text, csv and rtf files (text: their content).
+    """filename, markdown, title, warnings (array) of text, csv and rtf files (text: their content), of pdf files (pages: the
+    texts of their pages) and of images (ocr_text, words: what OCR found; description, description_failed), as far as files
+    has those columns. No shuffle, no Python.
 
-    Files of unknown extension give empty Markdown (passthrough: their text) and a warning. No shuffle, no Python.
+    Files of unknown extension give empty Markdown (passthrough: their text with line feeds) and a warning; so do files
+    whose reader is not part of the library (html, docx, xlsx, epub) or whose columns are missing.
     """
     name, ext = F.col("filename"), T.file_extension(F.col("filename"))
     rows = T.csv_rows(F.col("text"))
@@ -41,10 +46,50 @@ def convert(files: DataFrame, passthrough: bool = False) -> DataFrame:
     rtf = T.rtf_text(F.col("text"))
     unknown = F.concat(F.lit("Unsupported file format: ."), F.when(ext == "", "unknown").otherwise(ext))
     markdown = F.when(kind == "text", T.line_endings(F.col("text"))).when(kind == "csv", T.table_markdown(rows)).when(kind == "rtf", rtf)
-    markdown = F.coalesce(markdown, F.col("text") if passthrough else F.lit(""))
+    said = F.when(F.lit(False), F.expr("cast(array() as array<string>)"))
+    read = ["text", "csv", "rtf"]
+    if "pages" in files.columns:
+        read.append("pdf")
+        pages = F.coalesce("pages", F.array())
+        markdown = markdown.when(kind == "pdf", T.pdf_markdown(pages))
+        said = said.when(kind == "pdf", T.pdf_warnings(pages))
+    if "ocr_text" in files.columns:
+        read.append("image")
+        boxes = T.word_boxes(F.col("words"))
+        column = lambda c, other: F.col(c) if c in files.columns else F.lit(other)
+        markdown = markdown.when(kind == "image", T.image_markdown(F.col("ocr_text"), boxes, column("description", None).cast("string")))
+        said = said.when(kind == "image", T.image_warnings(F.col("ocr_text"), boxes, column("description_failed", False)))
+    unread = F.concat(F.lit("No reader for files of this format: ."), ext)
+    markdown = F.coalesce(markdown, F.when(kind.isNull(), T.line_endings(F.col("text")) if passthrough else F.lit("")), F.lit(""))
     warnings = (
         F.when(kind.isNull(), F.array(unknown)).when((kind == "csv") & (F.size(rows) == 0), F.array(F.lit("The CSV appears to be empty.")))
         .when((kind == "csv") & (F.size(rows) == 1), F.array(F.lit("Only one row was found; created a single-row markdown table."))).when((kind == "rtf") & (rtf == ""), F.array(F.lit("No readable text was extracted from this RTF file.")))
-        .otherwise(F.expr("cast(array() as array<string>)"))
+        .when(~kind.isin(read), F.array(unread)).otherwise(F.coalesce(said, F.expr("cast(array() as array<string>)")))
     )
     return files.select(name.alias("filename"), markdown.alias("markdown"), T.file_stem(name).alias("title"), warnings.alias("warnings"))
+
+
+def imported(files: DataFrame) -> DataFrame:
+    """filename, text, content of files brought in by hand (path, text, base64): text formats keep their text with line feeds,
+    others become bytes; base64 that is none gives null."""
+    name = F.col("path")
+    as_text = T.app_extension(name).isin(READ_AS_TEXT) | ~T.app_extension(name).isin(SUPPORTED)
+    text = F.when(as_text, T.line_endings(F.coalesce("text", F.lit(""))))
+    return files.select(T.base_name(name).alias("filename"), text.alias("text"), F.when(~as_text, F.try_to_binary(F.coalesce("base64", F.lit("")), F.lit("base64"))).alias("content"))
+
+
+def keeps_path(path: Column) -> Column:
+    """Whether a file is Markdown already, so that saving may go to where it came from."""
+    return T.app_extension(path).isin("md", "markdown", "mdx")
+
+
+def model_choices(models: DataFrame, limit: int = 15) -> DataFrame:
+    """The cheapest general models with a price: models has id, name, prompt and completion (prices of a token, as text),
+    context_length, modalities (array). The limit is the feature; equal prices stand by id."""
+    price = lambda c: T.cost_per_million(F.try_to_number(F.coalesce(c, F.lit("0")), F.lit("999999.999999999999")).cast("double"))
+    vision = F.array_contains(F.coalesce("modalities", F.expr("cast(array() as array<string>)")), "image") | F.col("id").rlike("(?i)vision|vl|image")
+    out = models.select(
+        "id", F.coalesce("name", "id").alias("title"), price(F.col("prompt")).alias("input_cost"), price(F.col("completion")).alias("output_cost"),
+        F.coalesce("context_length", F.lit(0)).alias("context_length"), vision.alias("vision"),
+    )
+    return out.where((F.col("input_cost") > 0) & ~F.col("id").rlike("(?i)embed|audio|tts|moderation|rerank|search")).orderBy("input_cost", "id").limit(limit)
