@@ -20,7 +20,7 @@ def _dots(path: Column) -> Column:
     """A path with . and .. segments resolved."""
     segments = F.split(path, "/")
     stack = F.aggregate(
-        F.slice(segments, F.lit(2), F.size(segments)), F.expr("cast(array() as array<string>)"),
+        F.slice(segments, 2, 1 << 30), F.expr("cast(array() as array<string>)"),
         lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
     )
     last = F.element_at(segments, -1)

@@ -74,7 +74,7 @@ def _within(rows: DataFrame, counts: DataFrame | None, most: int) -> DataFrame:
 
 def _added(counts: DataFrame | None, rows: DataFrame) -> DataFrame:
     now = rows.groupBy("root").agg(F.count("*").alias("n"))
-    return _written(now if counts is None else counts.union(now).groupBy("root").agg(F.sum("n").alias("n")))
+    return now if counts is None else counts.union(now).groupBy("root").agg(F.sum("n").alias("n"))
 
 
 def sitemap_pages(roots: DataFrame, files: DataFrame, options: CrawlOptions = CrawlOptions()) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +148,6 @@ def visit(seeds: DataFrame, pages: DataFrame, links: DataFrame, options: CrawlOp
             break
         seen = first.select("root", "url") if seen is None else seen.union(first.select("root", "url"))
         here = first.join(fetched, first["url"] == fetched["page"], "left").select("root", "url", "depth", "source", "seq", "status", warning.alias("warning"))
-        here = _written(here)
         kept = _written(_within(here.where("warning is null"), counts, options.max_pages))
         counts = _added(counts, kept)
         # Where the budget ends within this level, nothing behind the last page that counts is fetched.
