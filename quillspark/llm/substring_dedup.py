@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,14 +129,14 @@ def _picked(x: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc[first], "fingerprint": value[pick], "stretch": stretch, "first": a, "n": n}
 
 
-def _chunks(batch: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batch: list[str], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers, concatenated word hashes and ends of the documents with at least so many words."""
     rows, parts, size = [], [], 0
 
     def out():
         return np.array(rows), np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
-    for i, text in enumerate(batch["text"]):
+    for i, text in enumerate(batch):
         x = _hashes(text)
         if len(x) >= least:
             rows.append(i)
@@ -152,9 +154,10 @@ def occurrences(docs: DataFrame, batches: int = 1) -> DataFrame:
     (windows in a run), batch. One row for each document, fingerprint and stretch."""
     d = texts(docs, key=True).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)).cast("int"))
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = d.schema["doc_id"].dataType.simpleString()
+    def of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            for rows, x, ends in _chunks(b, WINDOW):
+            for rows, x, ends in _chunks(b.column("text").to_pylist(), WINDOW):
                 p = _picked(x, ends)
                 order = np.lexsort((p["first"], p["stretch"], p["fingerprint"], p["doc"]))
                 p = {k: v[order] for k, v in p.items()}
@@ -163,13 +166,14 @@ def occurrences(docs: DataFrame, batches: int = 1) -> DataFrame:
                 cut = np.nonzero(new)[0]
                 begin = np.concatenate([[0], ends[:-1]])
                 local = (p["first"] - begin[p["doc"]]).astype(np.int32)
-                out = b.iloc[rows[p["doc"][cut]]][["doc_id", "text_key", "batch"]].reset_index(drop=True)
-                out["fingerprint"], out["stretch"] = p["fingerprint"][cut].view(np.int64), p["stretch"][cut].view(np.int64)
-                out["starts"], out["n"] = np.split(local, cut[1:]), p["n"][cut].astype(np.int32)
-                yield out[["doc_id", "text_key", "fingerprint", "stretch", "starts", "n", "batch"]]
+                own = {c: b.column(c).take(pa.array(rows[p["doc"][cut]])) for c in ("doc_id", "text_key", "batch")}
+                own |= {c: pa.array(p[c][cut].view(np.int64)) for c in ("fingerprint", "stretch")}
+                own["starts"] = pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), pa.array(local))
+                own["n"] = pa.array(p["n"][cut].astype(np.int32))
+                names = ["doc_id", "text_key", "fingerprint", "stretch", "starts", "n", "batch"]
+                yield pa.RecordBatch.from_arrays([own[c] for c in names], names)
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(of, f"doc_id {kind}, text_key long, fingerprint long, stretch long, starts array<int>, n int, batch int")
+    return d.mapInArrow(of, f"doc_id {kind}, text_key long, fingerprint long, stretch long, starts array<int>, n int, batch int")
 
 
 class FingerprintIndex:
@@ -265,15 +269,30 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = texts(docs, key=True)
     rows = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(per_doc["_id"]) & (keyed["text_key"] == per_doc["_key"])).select("text", "fingerprint", "stretch", "start", "windows", "whole")
 
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        x, fingerprint, stretch, whole, m, start = map(np.concatenate, zip(*parts))
+        bit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        a = np.repeat(start, m) + bit
+        w = _Rolling(_mix(x ^ _OTHER), _B2)(a, a + WINDOW).view(np.int64)
+        return pd.DataFrame({"fingerprint": np.repeat(fingerprint, m), "w": w, "at": np.repeat(stretch, m) + np.where(np.repeat(whole, m), 31, bit)})
+
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
-            for r in b.itertuples(index=False):
-                two = _Rolling(_mix(_hashes(r.text) ^ _OTHER), _B2)
-                m = np.asarray(r.windows)
-                bit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                a = np.repeat(np.asarray(r.start), m) + bit
-                wide = lambda c: np.repeat(np.asarray(c), m)  # noqa: B023, E731
-                yield pd.DataFrame({"fingerprint": wide(r.fingerprint), "w": two(a, a + WINDOW).view(np.int64), "at": wide(r.stretch) + np.where(wide(r.whole), 31, bit)})
+            parts, size = [], 0
+            for text, fingerprint, stretch, start, m, whole in zip(*(b[c] for c in ("text", "fingerprint", "stretch", "start", "windows", "whole"))):
+                words = text.encode().split()
+                m = m.astype(np.int64)
+                # Only the words of wanted stretches are hashed; each stretch stays in one piece.
+                edge = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + m - 1 + WINDOW, minlength=len(words) + 1)
+                need = np.cumsum(edge[:-1]) > 0
+                x = np.fromiter(map(_WORDS.__getitem__, itertools.compress(words, need.tolist())), np.uint64)
+                parts.append((x, fingerprint, stretch, whole.astype(bool), m, (np.cumsum(need) - need)[start] + size))
+                size += len(x)
+                if size >= CHUNK:
+                    yield out(parts)
+                    parts, size = [], 0
+            if parts:
+                yield out(parts)
 
     return rows.mapInPandas(of, "fingerprint long, w long, at long")
 
@@ -320,14 +339,12 @@ def removals(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
 
 def covered(n: int, marks: np.ndarray | None) -> np.ndarray:
     """Which of n words lie in a marked window."""
-    edge = np.zeros(n + 1, np.int32)
+    edge = np.zeros(n + 1, np.int64)
     if marks is not None and len(marks):
-        marks = np.asarray(marks, np.int64)
-        start, mask = marks >> PICKS, marks & ((1 << PICKS) - 1)
-        for k in range(PICKS):
-            at = start[(mask >> k) & 1 == 1] + k
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + WINDOW, -1)
+        for some in np.array_split(np.asarray(marks, np.int64), 1 + len(marks) // CHUNK):
+            i, k = np.nonzero((some[:, None] >> np.arange(PICKS)) & 1)
+            at = (some >> PICKS)[i] + k
+            edge += np.bincount(at, minlength=n + 1) - np.bincount(at + WINDOW, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
