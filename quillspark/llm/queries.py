@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .oracles import CONVERSATION_REPAIR, LINE_DEDUP, SPELLING_VARIANTS
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +123,7 @@ f AS (SELECT r, i, x, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS f
 g AS (SELECT r, i, x, bool_or(f) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
 k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
-    "op13_line_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-u AS (SELECT r, doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
-k AS (SELECT *, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM u),
-f AS (SELECT k, min(doc_id) AS first FROM k WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
-g AS (SELECT r, doc_id, i, x, coalesce(doc_id > f.first, false) AS gone FROM k LEFT JOIN f USING (k))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id""",
+    "op11_spelling_variants": SPELLING_VARIANTS,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
+    "op13_line_dedup": LINE_DEDUP,
 }
