@@ -1,11 +1,15 @@
-"""Tables of files and the choice of handlers."""
+"""Tables of files and the choice of handlers."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..operators.hooks import Hook, describe, recognise
 
 # Extensions and the handlers they choose.
 HANDLERS = {
@@ -32,14 +36,36 @@ def handler(filename: Column) -> Column:
     return F.element_at(kinds, T.file_extension(filename))
 
 
-def convert(files: DataFrame, passthrough: bool = False) -> DataFrame:
+OPTIONS = "image struct<includeLayoutTable:boolean,language:string,describer:string>"
+
+
+def adapted(files: DataFrame) -> DataFrame:
+    """files with layout, language and describer out of column options, so that each file has its own: a struct whose field
+    image may have includeLayoutTable, language and describer, or the same as JSON. What a file's options do not say (none at
+    all, no image in them, a missing or null field, text that is no such JSON) is true, eng and null."""
+    options = F.col("options")
+    kind = files.schema["options"].dataType
+    if not isinstance(kind, StructType):
+        options, kind = F.from_json(options, OPTIONS), StructType.fromDDL(OPTIONS)
+    image = kind["image"].dataType if "image" in kind.names else None
+    given = lambda name, other, cast: F.coalesce((options["image"][name] if image is not None and name in image.names else F.lit(None)).cast(cast), F.lit(other).cast(cast))
+    return files.withColumns({"layout": given("includeLayoutTable", True, "boolean"), "language": given("language", "eng", "string"), "describer": given("describer", None, "string")})
+
+
+def convert(files: DataFrame, passthrough: bool = False, recogniser: Hook | None = None, describers: Hook | Mapping[str, Hook] | None = None, store: str | None = None) -> DataFrame:
     """filename, markdown, title, warnings (array) of text, csv and rtf files (text: their content), of pdf files (pages: the
     texts of their pages) and of images (ocr_text, words: what OCR found; description, description_failed), as far as files
-    has those columns. No shuffle, no Python.
+    has those columns. No shuffle, no Python but a caller's hooks.
 
-    Files of unknown extension give empty Markdown (passthrough: their text with line feeds) and a warning; so do files
-    whose reader is not part of the library (html, docx, xlsx, epub) or whose columns are missing.
+    recogniser and describers (see hooks.recognise and hooks.describe; store, too) fill the columns of images from their bytes
+    (content). Column options holds each file's own options (see adapted). Files of unknown extension give empty Markdown
+    (passthrough: their text with line feeds) and a warning; so do files whose reader is not part of the library (html, docx,
+    xlsx, epub) or whose columns are missing.
     """
+    files = files if "text" in files.columns else files.withColumn("text", F.lit(None).cast("string"))
+    files = adapted(files) if "options" in files.columns else files
+    files = files if recogniser is None else recognise(files, recogniser)
+    files = files if describers is None else describe(files, describers, store=store)
     name, ext = F.col("filename"), T.file_extension(F.col("filename"))
     rows = T.csv_rows(F.col("text"))
     kind = handler(name)
@@ -57,8 +83,11 @@ def convert(files: DataFrame, passthrough: bool = False) -> DataFrame:
         read.append("image")
         boxes = T.word_boxes(F.col("words"))
         column = lambda c, other: F.col(c) if c in files.columns else F.lit(other)
-        markdown = markdown.when(kind == "image", T.image_markdown(F.col("ocr_text"), boxes, column("description", None).cast("string")))
-        said = said.when(kind == "image", T.image_warnings(F.col("ocr_text"), boxes, column("description_failed", False)))
+        layout = column("layout", True)
+        markdown = markdown.when(kind == "image", T.image_markdown(F.col("ocr_text"), boxes, column("description", None).cast("string"), layout))
+        failed = F.concat(F.lit("Text recognition failed: "), column("ocr_error", None).cast("string"))
+        of_image = F.concat(T.image_warnings(F.col("ocr_text"), boxes, column("description_failed", False), layout), F.array_compact(F.array(failed)))
+        said = said.when(kind == "image", of_image)
     unread = F.concat(F.lit("No reader for files of this format: ."), ext)
     markdown = F.coalesce(markdown, F.when(kind.isNull(), T.line_endings(F.col("text")) if passthrough else F.lit("")), F.lit(""))
     warnings = (
