@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, decode_entities, safe_segment, trim_all
+from .text import WS, decode_entities, safe_segment, spelled, trim_all
 
 _PARTS = r"^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)"
 # An anchor's href in double, single or no quotes; a title element; a sitemap's address.
@@ -17,14 +18,54 @@ LOC = r"(?i)<loc>\s*([^<]+)</loc>"
 
 
 def _dots(path: Column) -> Column:
-    """A path with . and .. segments resolved."""
+    """A path with . and .. segments resolved, %2e counting as a dot."""
     segments = F.split(path, "/")
+    is_dots = lambda x, n: F.replace(F.lower(x), F.lit("%2e"), F.lit(".")) == "." * n
     stack = F.aggregate(
         F.slice(segments, 2, 1 << 30), F.expr("cast(array() as array<string>)"),
-        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+        lambda a, x: F.when(is_dots(x, 2), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(is_dots(x, 1), a).otherwise(F.concat(a, F.array(x))),
     )
     last = F.element_at(segments, -1)
-    return F.concat(F.lit("/"), F.array_join(stack, "/"), F.when(last.isin(".", "..") & (F.size(stack) > 0), "/").otherwise(""))
+    return F.concat(F.lit("/"), F.array_join(stack, "/"), F.when((is_dots(last, 1) | is_dots(last, 2)) & (F.size(stack) > 0), "/").otherwise(""))
+
+
+# What is percent-encoded in a path and in a user's name or password, and what a host must not hold.
+_IN_PATH = r"""[^\x21\x24-\x3B\x3D\x40-\x5D\x5F\x61-\x7A\x7C\x7E]"""
+_IN_USER = r"""[^\x21\x24-\x2E0-9A-Z\x5F\x61-\x7A\x7E]"""
+_NOT_IN_HOST = r"""[\x00-\x20"#%/:<>?@\[\\\]^`{|}\x7F]"""
+
+
+def percent_encoded(s: Column, chars: str) -> Column:
+    """s with the UTF-8 bytes of each of chars (a class of a pattern) as %XX."""
+    coded = spelled(s, f"(?:{chars})+", lambda m: F.regexp_replace(F.hex(F.encode(m, "UTF-8")), "(..)", r"%$1"))
+    return F.when(s.rlike(chars), coded).otherwise(s)
+
+
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is worked out once, however often then uses it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _authority(s: Column, scheme: Column, idn: bool) -> Column:
+    """userinfo@host:port in its normal form; null where it is none."""
+    part = lambda k: F.regexp_extract(s, r"^(?:(.*)@)?(\[[0-9A-Fa-f:.]+\]|[^:\[\]]+)(?::([0-9]*))?$", k)
+    name, word = F.regexp_extract(s, "^([^:@]*)(?::.*)?@", 1), F.regexp_extract(s, "^[^:@]*:(.*)@", 1)
+    name = F.when(s.rlike("^[^:]*@.*@"), F.regexp_extract(s, "^([^:]*)(?::.*)?@", 1)).otherwise(name)
+    given = _let(percent_encoded(word, _IN_USER), lambda w: F.concat(percent_encoded(name, _IN_USER), F.when(w != "", F.concat(F.lit(":"), w)).otherwise("")))
+    login = F.when(s.contains("@"), _let(given, lambda x: F.when(x != "", F.concat(x, F.lit("@"))).otherwise(""))).otherwise("")
+
+    def site(host: Column) -> Column:
+        plain = F.when(host.contains("%"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host)
+        if idn:
+            plain = _let(plain, lambda h: F.when(h.rlike("[^\\x00-\\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h)).otherwise(h))
+        return _let(plain, lambda h: F.when((h != "") & (h.startswith("[") | ~h.rlike(_NOT_IN_HOST)), F.lower(h)))
+
+    def at(port: Column) -> Column:
+        own = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+        fits = (F.length(port) < 5) | ((F.length(port) == 5) & (port <= "65535"))
+        return F.when(fits, F.when(own, "").otherwise(F.concat(F.lit(":"), port)))
+
+    return F.concat(login, _let(part(2), site), _let(F.regexp_replace(part(3), "^0+(?=.)", ""), at))
 
 
 def origin(url: Column) -> Column:
@@ -36,21 +77,47 @@ def origin(url: Column) -> Column:
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), F.lower(F.regexp_extract(u, f"(?i){_PARTS}", 2)), F.when(own, "").otherwise(F.concat(F.lit(":"), port))))
 
 
-def normalise(raw: Column, base: Column) -> Column:
-    """Absolute URL of raw against base, without query, fragment and one trailing slash; null unless http or https."""
-    r = trim_all(raw)
-    path_of = lambda u: F.regexp_extract(u, f"(?i){_PARTS}", 4)
-    base_path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
-    bare = F.regexp_replace(r, r"[?#].*$", "")
-    scheme = F.regexp_extract(base, r"^(?i)(https?):", 1)
-    absolute = (
-        F.when(r.rlike("(?i)^https?://"), r).when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r)).when(r.startswith("/"), F.concat(origin(base), bare))
-        .when(bare == "", F.concat(origin(base), base_path)).otherwise(F.concat(origin(base), F.regexp_replace(base_path, "[^/]*$", ""), bare))
-    )
-    path = _dots(F.when(path_of(absolute) == "", "/").otherwise(path_of(absolute)))
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.concat(origin(absolute), F.replace(path, F.lit(" "), F.lit("%20")))
+# An address in its normal form but for a query, a fragment and a slash at its end.
+_SIMPLE = r"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)*(?:/(?!\.|%2[eE])[A-Za-z0-9_~!$&()*+,;=:@%.-]*)*(?:[?#].*)?$"
+
+
+def normalise(raw: Column, base: Column, idn: bool = False) -> Column:
+    """Absolute URL of raw against base, without query, fragment and one trailing slash; null unless it is http or https and has
+    a host and port that can be. As browsers do it: back-slashes are slashes, tabs and line breaks go, dots are resolved, the
+    scheme and host are lower-case, its own port goes, a user's name and password stay, and other characters of these and of
+    the path are percent-encoded. Hosts that are not ASCII stay as written but for case, or (idn) take their ASCII form by
+    IDNA 2003. Numeric hosts are not rewritten.
+    """
+    r = F.regexp_replace(F.regexp_replace(raw, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    bare = F.replace(F.regexp_replace(r, r"(?s)[?#].*$", ""), F.lit("\\"), F.lit("/"))
+    base_part = lambda k: F.regexp_extract(base, r"(?i)^(https?)://([^/?#]*)([^?#]*)", k)
+    base_scheme = F.lower(base_part(1))
+    on_base = lambda path: F.concat(base_scheme, F.lit("://"), base_part(2), path)
+
+    def relative(rest: Column) -> Column:
+        folder = F.when(base_part(3) == "", "/").otherwise(F.regexp_replace(base_part(3), "[^/]*$", ""))
+        return (
+            F.when(rest.startswith("//"), F.concat(base_scheme, F.lit("://"), F.regexp_replace(rest, "^/+", ""))).when(rest.startswith("/"), on_base(rest))
+            .when(rest == "", on_base(base_part(3))).otherwise(on_base(F.concat(folder, rest)))
+        )
+
+    def absolute(b: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        full = F.concat(scheme, F.lit("://"), F.regexp_replace(b, "^[A-Za-z]+:/*", ""))
+        # http:x against a base of http is x, as http:/x is /x.
+        same = (scheme == base_scheme) & ~b.rlike("^[A-Za-z]+://")
+        return F.when(scheme == "", relative(b)).when(same, _let(F.regexp_replace(b, "^[A-Za-z]+:", ""), relative)).when(scheme.isin("http", "https"), full)
+
+    def resolved(path: Column) -> Column:
+        whole = F.when(path == "", "/").when(path.rlike(r"(?i)/(?:\.|%2e)"), _dots(path)).otherwise(path)
+        return _let(_let(whole, lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))), lambda p: percent_encoded(p, _IN_PATH))
+
+    def normal(url: Column) -> Column:
+        part = lambda k: F.regexp_extract(url, r"(?s)^(https?)://([^/]*)(.*)$", k)
+        return F.concat(part(1), F.lit("://"), _let(part(2), lambda s: _authority(s, part(1), idn)), _let(part(3), resolved))
+
+    quick = _let(F.regexp_replace(raw, "[?#].*$", ""), lambda u: F.when(u.rlike("^https?://[^/]+/?$"), F.concat(F.rtrim(u, F.lit("/")), F.lit("/"))).otherwise(F.regexp_replace(u, "/$", "")))
+    return F.when(raw.rlike(_SIMPLE), quick).otherwise(_let(_let(bare, absolute), normal))
 
 
 def is_internal(url: Column, root: Column) -> Column:
