@@ -1,7 +1,8 @@
 """PII by patterns, and information-theoretic sanitisation of the terms around it, in DataFrame functions only.
 
-Emails, IP addresses, card numbers and phone numbers are the protected entities. Words that stand
-within AROUND characters of an entity are candidate terms. Over all documents, a term t discloses an
+Emails, IP addresses, card numbers and phone numbers are the protected entities: each for itself, by the
+part that many share (an email's domain, an address's network, the first digits of a card or phone) and
+as a class. Words that stand within AROUND characters of an entity are candidate terms. Over all documents, a term t discloses an
 entity e as far as its pointwise mutual information with e reaches the information content of e:
 PMI(t, e) = IC(e) + log2(n(e, t) / n(t)), with IC(e) = log2(N / n(e)). Terms that reach DISCLOSURE of
 IC(e), in SUPPORT different surroundings (copies of a passage count once), are spans of kind term;
@@ -34,6 +35,8 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 AROUND = 60
 SUPPORT = 3
 DISCLOSURE = 0.9
+#: Terms up to which a table of them goes to every task.
+FEW_TERMS = 100_000
 _SPAN = "struct<start: bigint, kind_no: int, end: bigint, kind: string>"
 
 
@@ -73,8 +76,18 @@ def base_spans(d: DataFrame) -> DataFrame:
     return d.withColumn("spans", F.sort_array(F.concat(*(f"_{k}" for k in KINDS)))).drop(*(f"_{k}" for k in KINDS))
 
 
+def protected(kind: Column, value: Column) -> Column:
+    """The entities that a span stands for: itself, the part it shares with others, and its class."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    shared = (
+        F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1))).when(kind == "ip", F.concat(F.substring_index(value, ".", 3), F.lit(".")))
+        .when(kind == "card", F.left(digits, F.lit(6))).otherwise(F.concat(F.lit("+"), F.left(digits, F.lit(4))))
+    )
+    return F.array(*(F.concat_ws(":", F.lit(level), kind, x) for level, x in (("one", value), ("part", shared), ("class", F.lit("")))))
+
+
 def mentions(based: DataFrame) -> DataFrame:
-    """row, entity, left, right, left_at, right_at of each base span; words cut off at the edges are left out."""
+    """row, entity, left, right, left_at, right_at of what each base span stands for; words cut off at the edges are left out."""
     rows = based.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("x"))
     start, end = F.col("x.start").cast("int"), F.col("x.end").cast("int")
     first = F.greatest(start - AROUND, F.lit(0))
@@ -82,8 +95,8 @@ def mentions(based: DataFrame) -> DataFrame:
     left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.substring(F.col("text"), end + 1, F.lit(AROUND))
     right = F.when(end + AROUND < F.length("text"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    entity = F.concat_ws(":", "x.kind", F.lower(F.substring(F.col("text"), start + 1, end - start)))
-    return rows.select("row", entity.alias("entity"), left.alias("left"), right.alias("right"), (start - F.length(left)).alias("left_at"), end.alias("right_at"))
+    entities = protected(F.col("x.kind"), F.lower(F.substring(F.col("text"), start + 1, end - start)))
+    return rows.select("row", F.explode(entities).alias("entity"), left.alias("left"), right.alias("right"), (start - F.length(left)).alias("left_at"), end.alias("right_at"))
 
 
 def terms(found: DataFrame) -> DataFrame:
@@ -112,7 +125,11 @@ def disclosing(d: DataFrame, found: DataFrame, around: DataFrame) -> DataFrame:
         return supported
     of_entity = found.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     of_pair = around.select(*pair, "row").join(supported, pair, "left_semi").distinct().groupBy(*pair).agg(F.count("*").alias("n_et"))
-    of_term = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = d.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
+    wanted = supported.select("term").distinct()
+    if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS:  # else all words are counted: their sums are less to shuffle than they are
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = d.count()
     joined = materialise(of_pair, "pii-pairs").join(of_term, "term").join(of_entity, "entity")
     reveals = F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))) >= (DISCLOSURE - 1) * F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))

@@ -198,6 +198,76 @@ def test_pii_terms(spark):
     assert "term:13:22" in spans[0] and spans[0] == spans[3] and "term" not in spans[10] and "term" not in spans[len(rows) - 1]
 
 
+def _plain_terms(rows):
+    """Spans of all rows (distinct texts), by counts over all pairs of what is protected and the terms around it."""
+    found, total = [], len(rows)
+    having, near, where, at = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for row, text in enumerate(rows):
+        base = [x.split(":") for x in _base_spans(text).split(",") if x]
+        found.append(base)
+        for kind, start, end in base:
+            start, end = int(start), int(end)
+            value = text[start:end].lower()
+            digits = re.sub("[^0-9]", "", value)
+            part = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:3]), "card": digits[:6], "phone": digits[:4]}[kind]
+            first = max(0, start - pii.AROUND)
+            left, right = text[first:start], text[end : end + pii.AROUND]
+            if first:
+                left = re.sub(r"^[^\W\d_]+", "", left)
+            if end + pii.AROUND < len(text):
+                right = re.sub(r"[^\W\d_]+$", "", right)
+            for entity in ((kind, value, 1), (kind, part, 2), (kind, "", 3)):
+                having[entity].add(row)
+                for side, offset in ((left, start - len(left)), (right, end)):
+                    for m in re.finditer(r"[^\W\d_]+", side):
+                        pair = entity, m[0].lower()
+                        near[pair].add(row)
+                        where[pair].add((left, right))
+                        at[pair].add((row, offset + m.start(), offset + m.end()))
+    holding = collections.defaultdict(set)
+    for row, text in enumerate(rows):
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            holding[w].add(row)
+    terms = collections.defaultdict(set)
+    for (entity, term), places in at.items():
+        content = np.log2(total / len(having[entity]))
+        shared = content + np.log2(len(near[entity, term]) / len(holding[term]))
+        if len(where[entity, term]) >= pii.SUPPORT and shared >= pii.DISCLOSURE * content - 1e-12:
+            for row, start, end in places:
+                terms[row].add((start, end))
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    out = []
+    for row, base in enumerate(found):
+        apart = [("term", s, e) for s, e in terms[row] if all(int(b) <= s or e <= int(a) for _, a, b in base)]
+        every = sorted([(int(a), order[k], int(b), k) for k, a, b in base] + [(s, 4, e, k) for k, s, e in apart])
+        out.append(",".join(f"{k}:{s}:{e}" for s, _, e, k in every))
+    return out
+
+
+@pytest.mark.parametrize("few", [pii.FEW_TERMS, 0])
+def test_pii_terms_against_all_pairs(spark, monkeypatch, few):
+    """Words tied to one address, to a domain, to a network, to phones as a class, and to nothing."""
+    monkeypatch.setattr(pii, "FEW_TERMS", few)
+    r = random.Random(few)
+    common = ["".join(r.choice("abcdeéfg") for _ in range(r.randint(2, 9))) for _ in range(40)]
+    tied = {"zorbel": lambda: "z@corp.example", "helpdesk": lambda: f"{r.choice('pqrs')}@help.example", "gateway": lambda: f"10.20.30.{r.randint(1, 250)}", "dial": lambda: f"+1 (743) 555-{r.randint(1000, 9999)}"}
+    rows = []
+    for i in range(300):
+        words = [r.choice(common) for _ in range(r.randint(5, 60))] + [str(i)]
+        if i % 4 == 0:
+            word, value = r.choice(list(tied.items()))
+            k = r.randrange(len(words))
+            words[k:k] = [word, value()] if r.random() < 0.9 else [value()]
+        if i % 11 == 0:
+            words.insert(r.randrange(len(words)), r.choice(["4111 1111 1111 1111", "x@y.example"]))
+        rows.append(" ".join(words))
+    got = {x["doc_id"]: x["spans"] for x in pii.pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = _plain_terms(rows)
+    assert got == dict(enumerate(want))
+    told = {rows[i][int(s) : int(e)] for i, x in enumerate(want) for k, s, e in (y.split(":") for y in x.split(",") if y) if k == "term"}
+    assert set(tied) <= told and not told & set(common[:5])
+
+
 def test_secrets(spark):
     r = random.Random(2)
     key = "".join(r.choice("0123456789abcdef") for _ in range(40))
