@@ -17,10 +17,12 @@ result; columns other than doc_id and text are ignored. Texts are read whole.
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
 import itertools
 import json
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -182,8 +184,9 @@ class FingerprintIndex:
     Each batch adds a run of (fingerprint, c) and one of places (occurrences), both bucketed and sorted by fingerprint: the
     run is merge-joined with the runs before it, and what it meets with their places, without a shuffle of either side.
     Fingerprints with HOT or more places in a batch (at most 1 / HOT of its places, so a bounded number) have their places
-    in a table of their own, which is never dealt by fingerprint. fan_out runs are compacted into one, and fan_out ** 2
-    tables of places.
+    in a table of their own, which is never dealt by fingerprint. Runs are compacted by size: fan_out of them whose rows are
+    of one power of fan_out become one (fan_out ** 2 for places), so a row is written again once for each power, batches
+    meet a number of runs that grows as the logarithm of all rows, and large runs are left alone until others are as large.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_out: int = 2):
@@ -194,7 +197,7 @@ class FingerprintIndex:
         except AnalysisException:  # no such folder: a new index
             last = None
         self.version = last["version"] if last else 0
-        self.runs = json.loads(last["runs"]) if last else {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "keys": [], "places": [], "hot": [], "schemas": {}}
+        self.runs = json.loads(last["runs"]) if last else {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "keys": [], "places": [], "hot": [], "schemas": {}, "rows": {}, "written": {}}
 
     def _commit(self) -> None:
         self.version += 1
@@ -204,7 +207,10 @@ class FingerprintIndex:
         """A new run; its rows are already dealt by fingerprint to as many tasks as there are buckets, or fewer."""
         name = f"{kind}_{uuid.uuid4().hex}"
         with shuffle_files_go(self.spark):
-            df.write.bucketBy(self.runs["buckets"], "fingerprint").sortBy("fingerprint").option("path", f"{self.folder}/{name}").saveAsTable(name)
+            if kind == "hot":
+                df.write.parquet(f"{self.folder}/{name}")
+            else:
+                df.write.bucketBy(self.runs["buckets"], "fingerprint").sortBy("fingerprint").option("path", f"{self.folder}/{name}").saveAsTable(name)
         self.runs["schemas"][name] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
         return name
 
@@ -225,8 +231,7 @@ class FingerprintIndex:
         hot_name = None
         cold = found
         if not hot.isEmpty():
-            hot_name = f"hot_{uuid.uuid4().hex}"
-            write_table(found.join(F.broadcast(hot), "fingerprint", "left_semi"), f"{self.folder}/{hot_name}")
+            hot_name = self._write(found.join(F.broadcast(hot), "fingerprint", "left_semi"), "hot")
             cold = found.join(F.broadcast(hot), "fingerprint", "left_anti")
         places = self._write(cold.repartition("fingerprint"), "places")
         met = self.run(mine)
@@ -244,20 +249,36 @@ class FingerprintIndex:
             keys = self._hot(name).select("fingerprint").distinct().join(again, "fingerprint", "left_semi")
             hits = hits.unionByName(self._hot(name).join(F.broadcast(keys), "fingerprint", "left_semi"))
         hits = materialise(hits, "hits")
-        self.runs["keys"].append(mine)
-        self.runs["places"].append(places)
-        self.runs["hot"] += [hot_name] if hot_name else []
-        self._compact("keys", self.fan_out)
-        self._compact("places", self.fan_out**2)
+        for kind, name, least in (("keys", mine, self.fan_out), ("places", places, self.fan_out**2), ("hot", hot_name, self.fan_out**2)):
+            if name:
+                self._count(kind, name)
+                self._compact(kind, least)
         self._commit()
         return hits
 
+    def _read(self, kind: str, name: str) -> DataFrame:
+        return self._hot(name) if kind == "hot" else self.run(name)
+
+    def _count(self, kind: str, name: str) -> None:
+        self.runs[kind].append(name)
+        self.runs["rows"][name] = n = self._read(kind, name).count()
+        self.runs["written"][kind] = self.runs["written"].get(kind, 0) + n
+
     def _compact(self, kind: str, least: int) -> None:
-        """Once there are so many runs, merge them into one; the old ones' files stay for sessions that have them open."""
-        if len(self.runs[kind]) >= least:
-            merged = functools.reduce(DataFrame.unionByName, map(self.run, self.runs[kind]))
-            merged = merged.groupBy("fingerprint").agg(F.sum("c").alias("c")) if kind == "keys" else merged.repartition("fingerprint")
-            self.runs[kind] = [self._write(merged, kind)]
+        """Merge runs of like size until fewer than least of any size are left; the old ones' files stay for sessions that have
+        them open."""
+        power = lambda name: int(math.log(self.runs["rows"][name] + 1, self.fan_out))
+        while True:
+            like = collections.Counter(map(power, self.runs[kind]))
+            size = min((k for k, n in like.items() if n >= least), default=None)
+            if size is None:
+                return
+            old = [name for name in self.runs[kind] if power(name) == size]
+            merged = functools.reduce(DataFrame.unionByName, (self._read(kind, name) for name in old))
+            merged = merged.groupBy("fingerprint").agg(F.sum("c").alias("c")) if kind == "keys" else merged.repartition("fingerprint") if kind == "places" else merged
+            name = self._write(merged, kind)
+            self.runs[kind] = [x for x in self.runs[kind] if x not in old]
+            self._count(kind, name)
 
 
 def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:

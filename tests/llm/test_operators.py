@@ -522,7 +522,7 @@ def test_index_goes_on_from_batch_to_batch(spark, docs, tmp_path, monkeypatch):
         batch = found.where(F.pmod("doc_id", F.lit(3)) == k)
         for i, at in _marks(substring_dedup.add_batch(index, batch, every)).items():
             seen[i] = sorted({*seen.get(i, []), *at})
-    assert index.version == 3 and len(index.runs["keys"]) == 1 and index.runs["hot"]
+    assert index.version == 3 and len(index.runs["keys"]) <= 2 and index.runs["hot"]
     assert seen == whole and len(whole) > 9
 
 
@@ -535,6 +535,20 @@ def test_runs_are_merged_without_a_shuffle(spark, docs):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_what_an_index_writes_grows_as_n_log_n(spark, monkeypatch):
+    """Sixteen batches of one size: each row is written once for each doubling, hot ones too, and few runs are left."""
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 2)
+    monkeypatch.setattr(substring_dedup, "HOT", 10**9)
+    index, batches, rows = substring_dedup.FingerprintIndex(spark, buckets=2), 16, 40
+    for b in range(batches):
+        own = spark.range(rows).selectExpr(f"id + {b * rows} AS doc_id", "id AS text_key", f"IF(id < 4, -1, id + {b * rows}) AS fingerprint", f"(id + {b * rows}) * 32 AS stretch", "array(0) AS starts", "1 AS n")
+        hits = index.add(substring_dedup.materialise(own, "found"))
+        assert hits.count() == 4 * (b + 1)  # the hot one's, of this batch and of all before it
+    keys, total = index.runs["written"]["keys"], batches * (rows - 3)
+    assert total * 3 < keys <= total * 6 and index.runs["written"]["hot"] <= batches * 4 * 4 and index.runs["written"]["places"] <= total * 4
+    assert len(index.runs["keys"]) <= 5 and len(index.runs["places"]) <= 9 and len(index.runs["hot"]) <= 9
+
+
 def test_chain_of_lines():
     """The slope of fit() is that of the likelihood; on documents whose lines switch, relabelled lines teach the chain to."""
     r = np.random.default_rng(4)
