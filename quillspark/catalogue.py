@@ -280,7 +280,7 @@ def ext_03_over_collapsed(spark, sf_dir):
 @_query("SELECT doc_id, '  ' || replace(text, chr(10), chr(10) || '  ') AS text FROM documents")
 def edt_04_indent(spark, sf_dir):
     """All lines of every text indented by two."""
-    return _table(spark, sf_dir, "documents").select("doc_id", E.indent_lines(F.col("text"), F.lit(0), F.length("text"), 2)["text"].alias("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", E.act("indent", F.col("text"), F.lit(0), F.length("text"), amount=2)["text"].alias("text"))
 
 
 @_query("SELECT page_id, 'http_' || length(url) || '.test' || '.crawl.jsonl' AS output, '# ' || page_id || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || '_No markdown generated._' || chr(10) AS document FROM pages")

@@ -1,118 +1,110 @@
-"""Editor transforms as functions of a text and a selection.
+"""Editor actions as functions of a text and a selection.
 
-start and end are 0-based offsets in code points, end exclusive. Each gives a struct of text, start and end: the new text
-and selection.
+An edit covers the selection or the lines it touches, and puts four parts in its place: what comes before the new selection,
+the new selection, what comes behind it, and what goes to the end of the text. An action says which parts these are. Offsets
+are 0-based, in code points, end exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WS
 
-HEADING_ID = " {#custom-id}"
 
+class Parts(NamedTuple):
+    before: Column
+    chosen: Column
+    behind: Column
+    at_end: Column
 
-def _cut(text: Column, a: Column, b: Column) -> Column:
-    return F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
 
+class Action(NamedTuple):
+    """parts(covered, text, options): covered is what the edit takes out, the selection or (lines) its whole lines."""
 
-def _edited(text: Column, start: Column, end: Column) -> Column:
-    return F.struct(text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    lines: bool
+    parts: Callable[[Column, Column, dict], Parts]
 
 
-def _put(text: Column, a: Column, b: Column, new: Column) -> Column:
-    return F.concat(_cut(text, F.lit(0), a), new, _cut(text, b, F.length(text)))
+def _parts(before: Column | str = "", chosen: Column | str = "", behind: Column | str = "", at_end: Column | str = "") -> Parts:
+    return Parts(*(x if isinstance(x, Column) else F.lit(x) for x in (before, chosen, behind, at_end)))
 
 
-def wrap(text: Column, start: Column, end: Column, before: str, after: str, placeholder: str = "") -> Column:
-    """The selection, or a placeholder that is then selected, between before and after."""
-    chosen = _cut(text, start, end)
-    inner = F.when(chosen == "", placeholder).otherwise(chosen)
-    first = start + len(before)
-    last = first + F.length(inner)
-    behind = last + len(after)
-    out = _put(text, start, end, F.concat(F.lit(before), inner, F.lit(after)))
-    return _edited(out, F.when(chosen == "", first).otherwise(behind), F.when(chosen == "", last).otherwise(behind))
+def _or_sample(covered: Column, around: Callable[[Column], Parts], sample: Parts) -> Parts:
+    """around(covered), or the sample where nothing is selected."""
+    return Parts(*(F.when(covered == "", empty).otherwise(full) for full, empty in zip(around(covered), sample)))
 
 
-def replace_range(text: Column, start: Column, end: Column, snippet: Column, select: Column, first: Column | None = None, last: Column | None = None) -> Column:
-    """snippet in place of the selection; its part from first to last is selected, or the caret stands at last."""
-    a = start if first is None else start + first
-    b = start + (F.length(snippet) if last is None else last)
-    return _edited(_put(text, start, end, snippet), F.when(select, a).otherwise(b), b)
+def _each_line(change: Callable[[Column], Column]) -> Callable[[Column], Parts]:
+    return lambda covered: _parts(chosen=F.array_join(F.transform(F.split(covered, "\n", -1), change), "\n"))
 
 
-def line_range(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Where the first line of a selection begins, and its last one ends."""
-    before = _cut(text, F.lit(0), start)
-    first = F.length(before) - F.length(F.substring_index(before, "\n", -1))
-    rest = _cut(text, end, F.length(text))
-    return first, end + F.length(F.substring_index(rest, "\n", 1))
+def _wrapped(covered: Column, text: Column, o: dict) -> Parts:
+    before, after = o["before"], o["after"]
+    return _or_sample(covered, lambda s: _parts(F.concat(F.lit(before), s, F.lit(after))), _parts(before, o.get("placeholder", ""), after))
 
 
-def _lines(text: Column, start: Column, end: Column, change) -> Column:
-    a, b = line_range(text, start, end)
-    new = F.array_join(F.transform(F.split(_cut(text, a, b), "\n", -1), change), "\n")
-    return _edited(_put(text, a, b, new), a, a + F.length(new))
+def _linked(covered: Column, text: Column, o: dict) -> Parts:
+    return _or_sample(covered, lambda s: _parts(F.concat(F.lit("["), s, F.lit("](")), "", "url)"), _parts("[", "link text", "](url)"))
 
 
-def prefix_lines(text: Column, start: Column, end: Column, prefix: str, toggle: bool = False) -> Column:
-    """prefix before each line of the selection; toggle takes it away where it stands already."""
-    on = lambda x: F.concat(F.lit(prefix), x)
-    off = lambda x: F.when(x.startswith(prefix), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(on(x))
-    return _lines(text, start, end, off if toggle else on)
+def _prefixed(covered: Column, text: Column, o: dict) -> Parts:
+    return _each_line(lambda x: F.concat(F.lit(o["syntax"]), x))(covered)
 
 
-def indent_lines(text: Column, start: Column, end: Column, amount: int) -> Column:
-    """amount spaces before each line; a negative amount takes away so many at most."""
-    return _lines(text, start, end, lambda x: F.concat(F.lit(" " * amount), x) if amount > 0 else F.regexp_replace(x, f"^ {{1,{max(1, -amount)}}}", ""))
+def _toggled(covered: Column, text: Column, o: dict) -> Parts:
+    mark = o["syntax"]
+    return _each_line(lambda x: F.when(x.startswith(mark), F.substring(x, F.lit(len(mark) + 1), F.length(x))).otherwise(F.concat(F.lit(mark), x)))(covered)
 
 
-def heading_id(text: Column, start: Column, end: Column) -> Column:
-    """An id, selected, behind the line; one that stands there already is not doubled."""
-    a, b = line_range(text, start, end)
-    new = F.concat(F.regexp_replace(_cut(text, a, b), rf"[{WS}]*\{{#custom-id\}}$", ""), F.lit(HEADING_ID))
-    last = a + F.length(new) - 1
-    return _edited(_put(text, a, b, new), last - 9, last)
+def _indented(covered: Column, text: Column, o: dict) -> Parts:
+    amount = o["amount"]
+    return _each_line(lambda x: F.concat(F.lit(" " * amount), x) if amount > 0 else F.regexp_replace(x, f"^ {{1,{max(1, -amount)}}}", ""))(covered)
 
 
-def footnote(text: Column, start: Column, end: Column) -> Column:
-    """A reference, its number selected, with the number after the largest in the text, and its note at the end."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\[\^([0-9]+)\]"), F.lit(1)), lambda n: n.cast("long"))
-    ref = F.concat(F.lit("[^"), (F.coalesce(F.array_max(numbers), F.lit(0)) + 1).cast("string"), F.lit("]"))
-    note = F.concat(F.when(F.regexp_replace(text, f"[{WS}]+$", "") == "", "").otherwise("\n\n"), ref, F.lit(": footnote text"))
-    return _edited(F.concat(_put(text, start, end, ref), note), start + 2, start + F.length(ref) - 1)
+def _with_id(covered: Column, text: Column, o: dict) -> Parts:
+    return _parts(F.concat(F.regexp_replace(covered, rf"[{WS}]*\{{#custom-id\}}$", ""), F.lit(" {#")), "custom-id", "}")
 
 
-def link(text: Column, start: Column, end: Column) -> Column:
-    """The selection as a link's text, the caret at its address; without one, a placeholder that is selected."""
-    chosen = _cut(text, start, end)
-    none = chosen == ""
-    at = F.length(chosen) + 3
-    snippet = F.concat(F.lit("["), F.when(none, "link text").otherwise(chosen), F.lit("](url)"))
-    return replace_range(text, start, end, snippet, none, F.when(none, 1).otherwise(at), F.when(none, 10).otherwise(at))
+def _noted(covered: Column, text: Column, o: dict) -> Parts:
+    """A reference with the number after the largest one of the text, whose note stands at the end."""
+    taken = F.transform(F.regexp_extract_all(text, F.lit(r"\[\^([0-9]+)\]"), F.lit(1)), lambda n: n.cast("long"))
+    number = (F.coalesce(F.array_max(taken), F.lit(0)) + 1).cast("string")
+    gap = F.when(text.rlike(f"[^{WS}]"), "\n\n").otherwise("")
+    return _parts("[^", number, "]", F.concat(gap, F.lit("[^"), number, F.lit("]: footnote text")))
 
 
-def image(text: Column, start: Column, end: Column) -> Column:
-    return replace_range(text, start, end, F.lit("![alt text](image-url)"), F.lit(True), F.lit(2), F.lit(10))
+# The actions' names, and the samples in the functions above.
+ACTIONS = {
+    "wrap": Action(False, _wrapped), "blockWrap": Action(False, _wrapped), "prefix": Action(True, _prefixed), "prefixToggle": Action(True, _toggled),
+    "insert": Action(False, lambda covered, text, o: _parts(o["syntax"])), "indent": Action(True, _indented), "link": Action(False, _linked),
+    "image": Action(False, lambda covered, text, o: _parts("![", "alt text", "](image-url)")), "headingId": Action(True, _with_id), "footnote": Action(False, _noted),
+}
 
 
-def decode_escapes(s: Column) -> Column:
-    r"""\n and \t as typed in an option."""
-    return F.replace(F.replace(s, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+def act(name: str, text: Column, start: Column, end: Column, **options) -> Column:
+    r"""text, start and end after an action: the new text and selection. An unknown action leaves them as they are. Options are
+    before, after, placeholder (wrap, blockWrap), syntax (prefix, prefixToggle, insert) and amount (indent; below zero takes
+    spaces away); \n and \t typed in before, after and syntax count as what they stand for."""
+    action = ACTIONS.get(name)
+    if action is None:
+        return F.struct(text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    typed = {k: v.replace("\\n", "\n").replace("\\t", "\t") if k in ("before", "after", "syntax") else v for k, v in options.items()}
+    left, right = F.left(text, start), F.substring(text, end + 1, F.length(text))
+    covered = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+    if action.lines:  # the lines' rests on either side are covered, too
+        head, tail = F.substring_index(left, "\n", -1), F.substring_index(right, "\n", 1)
+        covered = F.concat(head, covered, tail)
+        left, right = F.left(left, F.length(left) - F.length(head)), F.substring(right, F.length(tail) + 1, F.length(right))
+    new = action.parts(covered, text, typed)
+    at = (F.length(left) + F.length(new.before)).cast("int")
+    return F.struct(F.concat(left, new.before, new.chosen, new.behind, right, new.at_end).alias("text"), at.alias("start"), (at + F.length(new.chosen)).cast("int").alias("end"))
 
 
-def act(name: str, text: Column, start: Column, end: Column, **options) -> Column:
-    """An action by its name; an unknown one leaves text and selection as they are."""
-    plain = {"headingId": heading_id, "footnote": footnote, "link": link, "image": image}
-    if name in ("wrap", "blockWrap"):
-        return wrap(text, start, end, options["before"], options["after"], options.get("placeholder", ""))
-    if name in ("prefix", "prefixToggle"):
-        return prefix_lines(text, start, end, options["syntax"], name == "prefixToggle")
-    if name == "indent":
-        return indent_lines(text, start, end, options["amount"])
-    if name == "insert":
-        return replace_range(text, start, end, F.lit(options["syntax"]), F.lit(False))
-    return plain[name](text, start, end) if name in plain else _edited(text, start, end)
+def decode_escapes(s: Column) -> Column:
+    r"""\n and \t as typed in an option, of a column."""
+    return F.replace(F.replace(s, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
