@@ -9,6 +9,7 @@ from .functions import editing as E
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators import assembly as A
 from .operators import outputs as O
 from .registry import DECODED_SQL, NORM_SQL, ORACLE_SQL, QUERIES, query, table
 from .sources import files as S
@@ -109,11 +110,24 @@ def url_12_mirror_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.mirror_path(U.normalise(F.col("url"), F.col("url"))).alias("path"))
 
 
-@query(f"""SELECT page_id, concat_ws(chr(10), '# Page: ' || url, '**Title:** ' || {DECODED_SQL}, '**URL:** ' || url, '**Depth:** 0', '**Word Count:** 0', '**Fetched At:** {FETCHED}', '', '_No markdown extracted._') AS section FROM pages""")
+_TEXT_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_WORDS_SQL = "len(string_split(text, ' ')) - CAST(text = '' AS INT)"
+
+
+def _page_records(spark, sf_dir):
+    """Pages with title, depth, text outside tags and its words."""
+    text = T.plain_text(F.col("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", U.page_title(F.col("html"), F.col("url")).alias("title"), (F.col("page_id") % 5).cast("int").alias("depth"), F.when(F.col("page_id") % 10 == 9, "").otherwise(text).alias("text"))
+    return rows.withColumn("words", T.word_count(F.col("text"))).withColumn("warnings", F.when(F.col("page_id") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+_RECORDS_SQL = f"""r AS (SELECT page_id, url, {DECODED_SQL} AS title, page_id % 5 AS depth, CASE WHEN page_id % 10 = 9 THEN '' ELSE {_TEXT_SQL} END AS text FROM pages), w AS (SELECT *, {_WORDS_SQL} AS words FROM r)"""
+
+
+@query(f"""WITH {_RECORDS_SQL} SELECT page_id, concat_ws(chr(10), '# Page: ' || url, '**Title:** ' || title, '**URL:** ' || url, '**Depth:** ' || depth, '**Word Count:** ' || words, '**Fetched At:** {FETCHED}', CASE WHEN page_id % 4 = 0 THEN '**Warnings:** a; b' END, '', CASE WHEN text = '' THEN '_No markdown extracted._' ELSE text END) AS section FROM w""")
 def snk_02_section(spark, sf_dir):
-    none = F.expr("cast(array() as array<string>)")
-    section = O.page_section(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.lit(0), F.lit(FETCHED), none, F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", section.alias("section"))
+    section = O.page_section(*(F.col(c) for c in ("title", "url", "depth", "words")), F.lit(FETCHED), F.col("warnings"), F.col("text"))
+    return _page_records(spark, sf_dir).select("page_id", section.alias("section"))
 
 
 @query(f"""SELECT page_id, concat_ws(chr(10), '---', 'title: "' || replace({DECODED_SQL}, '"', '\\"') || '"', 'url: "' || url || '"', 'depth: 0', 'wordCount: ' || length(html), '---', '', '_No markdown extracted._', '') AS front FROM pages""")
@@ -121,11 +135,10 @@ def snk_03_front_matter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", O.mirror_file(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.length("html"), F.lit("")).alias("front"))
 
 
-@query()
+@query(f"""WITH {_RECORDS_SQL} SELECT page_id, CAST(to_json({{'url': url, 'title': title, 'markdown': text, 'metadata': {{'depth': depth, 'source': 'link', 'fetchedAt': '{FETCHED}', 'wordCount': words, 'warnings': CASE WHEN page_id % 4 = 0 THEN ['a', 'b'] ELSE [] END}}}}) AS VARCHAR) AS line FROM w""")
 def snk_04_jsonl(spark, sf_dir):
-    none = F.expr("cast(array() as array<string>)")
-    line = O.jsonl(F.col("url"), U.page_title(F.col("html"), F.col("url")), F.lit(""), F.lit(0), F.lit("seed"), F.lit(FETCHED), F.lit(0), none)
-    return table(spark, sf_dir, "pages").select("page_id", line.alias("line"))
+    line = O.jsonl(*(F.col(c) for c in ("url", "title", "text", "depth")), F.lit("link"), F.lit(FETCHED), F.col("words"), F.col("warnings"))
+    return _page_records(spark, sf_dir).select("page_id", line.alias("line"))
 
 
 _ENDINGS = [*S.SUPPORTED, "xyz", ""]
@@ -154,11 +167,29 @@ def src_09_csv(spark, sf_dir):
     return S.convert(files).select(F.col("title").cast("long").alias("c_custkey"), "markdown")
 
 
-@query("SELECT conv_id, string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id UNION ALL SELECT conv_id, any_value(text) FROM conversations GROUP BY conv_id HAVING count(*) = 1")
+def _blocks_sql(pieces: str, group: str, order: str, between: int, size: int) -> str:
+    """Blocks of documents put together from pieces (text, by order) with line feeds between them."""
+    gap = f"repeat(chr(10), {between})"
+    return f"""p AS ({pieces}), s AS (SELECT {group}, text, row_number() OVER w - 1 AS place, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + greatest(row_number() OVER w - 2, 0) * {between} AS pos FROM p WINDOW w AS (PARTITION BY {group} ORDER BY {order}))
+SELECT {group}, CAST(pos // {size} AS BIGINT) AS block, CAST(min(pos) AS BIGINT) AS "offset", string_agg(CASE WHEN place > 0 THEN {gap} ELSE '' END || text, '' ORDER BY place) AS text FROM s GROUP BY {group}, pos // {size}"""
+
+
+_CLEAN_SQL = r"trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("WITH c AS (SELECT conv_id, turn, " + _CLEAN_SQL + " AS text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), " + _blocks_sql("SELECT conv_id, turn, CASE WHEN n > 1 THEN '## Page ' || (turn + 1) || chr(10) || chr(10) ELSE '' END || text AS text FROM c WHERE text <> ''", "conv_id", "turn", 2, 1000))
 def src_12_pdf_assembly(spark, sf_dir):
-    """Turns of a conversation as the pages of a PDF."""
-    pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return pages.select("conv_id", T.pdf_markdown(F.col("p.text")).alias("markdown"))
+    """Turns of a conversation as the pages of a PDF, in blocks of 1,000 characters."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("filename"), F.col("turn").alias("page"), "text")
+    return A.pdf_blocks(pages, 1000).withColumnRenamed("filename", "conv_id")
+
+
+@query("WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 OR conv_id % 7 = 0 THEN '' ELSE text END AS text FROM conversations) SELECT conv_id, count(*) AS pages, CASE WHEN count(*) FILTER (text <> '') = 0 THEN 'No selectable text was found. This PDF may be image-based.' WHEN count(*) FILTER (text <> '') < count(*) THEN 'Some pages had little or no extractable text.' ELSE '' END AS warnings FROM c GROUP BY conv_id")
+def src_13_pdf_notes(spark, sf_dir):
+    """Warnings of the same files, where some have blank pages and some no others."""
+    blank = (F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 0) | (F.col("conv_id") % 7 == 0)
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("filename"), F.when(blank, " \n").otherwise(F.col("text")).alias("text"))
+    return A.pdf_notes(pages).select(F.col("filename").alias("conv_id"), "pages", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query("SELECT p_partkey, '| ' || p_name || ' | ' || p_size || '.0 | ' || p_size || ' | -3 | ' || p_size || ' | 1 |' AS row FROM part")
@@ -229,11 +260,11 @@ def src_22_types(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.image_type(ending).alias("type"), ending.isin(S.READ_AS_TEXT).alias("as_text"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS html, count(*) AS regions FROM conversations GROUP BY conv_id")
+@query("WITH " + _blocks_sql("SELECT conv_id, turn, text FROM conversations WHERE text <> ''", "conv_id", "turn", 1, 500))
 def ext_08_region_merge(spark, sf_dir):
-    """Turns of a conversation as picked regions, joined in document order; a conversation is a page's few picks."""
-    picks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return picks.select("conv_id", F.array_join("p.text", "\n").alias("html"), F.size("p").cast("long").alias("regions"))
+    """Turns of a conversation as picked regions, joined in document order, in blocks of 500 characters."""
+    picks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("html"))
+    return A.merged_regions(picks, 500).withColumnRenamed("page", "conv_id")
 
 
 @query("""SELECT c_custkey, 'Name: ' || c_name || chr(10) || chr(10) || ' caf' || chr(233) || ' ' || chr(128512) || ' ' || c_mktsegment || chr(10) || 'end' AS text FROM customer""")
@@ -293,13 +324,14 @@ def snk_01_site_document(spark, sf_dir):
     return O.site_document(records, "then")
 
 
-@query()
+@query(rf"""WITH h AS (SELECT page_id, url, {DECODED_SQL} AS title, {_TEXT_SQL} AS text, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i)(#|mailto:|tel:|javascript:|data:)')) AS links FROM pages)
+SELECT page_id, title, len(links) AS links, len(list_filter(links, lambda x: NOT regexp_matches(x, '^https?://') OR starts_with(x || '/', regexp_extract(url, '^https?://[^/]+') || '/'))) AS internal_links, {_WORDS_SQL} AS words FROM h""")
 def page_overview(spark, sf_dir):
     """Title, numbers of links and of links within the site, and words of the text outside tags, of every page."""
-    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
     pages = table(spark, sf_dir, "pages").withColumn("links", U.hrefs(F.col("html"))).withColumn("origin", U.origin(F.col("url")))
     inside = F.filter("links", lambda h: U.is_internal_href(h, F.col("origin")))
-    return pages.select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size("links").cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), T.word_count(plain).alias("words"))
+    words = T.word_count(T.plain_text(F.col("html")))
+    return pages.select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size("links").cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), words.alias("words"))
 
 
 # The other queries; a module registers its own.

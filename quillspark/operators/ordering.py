@@ -11,25 +11,30 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _runs(rows: DataFrame, group: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Sums of each stretch of a group in one partition, and the same sums over the stretches before it (before_...)."""
-    runs = rows.groupBy(*group, F.shiftright("_at", 33).alias("_run")).agg(*(c.alias(n) for n, c in sums.items()))
-    earlier = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums if n.startswith("n_")})
-
-
-def numbered(df: DataFrame, group: list[str], order: list[str], range_by: list[str] | None = None) -> DataFrame:
-    """df with place (long): each row's number, from 0, in its group by order (ascending, nulls first).
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], range_by: list[str] | None = None) -> DataFrame:
+    """df with place (long: each row's number, from 0, in its group by order, ascending, nulls first), and with each of sums over
+    the rows of the group before it (long).
 
     Rows are dealt by ranges of range_by (else of group and order: name it where order has long texts, as its values are
-    sampled), sorted and written once; a row's number is its offset in its stretch plus the lengths of the stretches before.
-    Of a group there are as many stretches as partitions that hold it. Rows equal in range_by share a partition.
+    sampled), sorted and written once. Of a group there are as many stretches as partitions that hold it; a row's number and
+    sums are those in its stretch plus those of the stretches before. Rows equal in range_by share a partition.
     """
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(partitions, *(range_by or [*group, *order])).sortWithinPartitions(*group, *order)
-    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    runs = _runs(rows, group, {"low": F.min("_at"), "n_rows": F.count("*")})
-    shift = runs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(group)), "_run", (F.col("before_n_rows") - F.col("low")).alias("_shift"))
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(group)), F.shiftright("_at", 33) == F.col("_run"))
-    return rows.join(shift, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"))
+    added = {f"_sum_{n}": c.cast("long") for n, c in sums.items()}
+    rows = written(dealt.withColumns(added | {"_at": F.monotonically_increasing_id()}), "numbered")
+    run = F.shiftright("_at", 33)
+    totals = rows.groupBy(*group, run.alias("_run")).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"), *(F.sum(c).alias(f"{c}_all") for c in added))
+    earlier = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    shifts = totals.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(group)), "_run", (before("_n") - F.col("_low")).alias("_shift"), *(before(f"{c}_all").alias(f"{c}_before") for c in added))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(group)), run == F.col("_run"))
+    inside = Window.partitionBy(*group, run).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in added}) if added else rows
+    return rows.join(shifts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"), *((F.col(f"_sum_{n}_in") + F.col(f"_sum_{n}_before")).alias(n) for n in sums))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], range_by: list[str] | None = None) -> DataFrame:
+    """df with place, as running() gives it."""
+    return running(df, group, order, {}, range_by)

@@ -23,3 +23,27 @@ def test_numbered(spark):
         keys = [(o is not None, o or 0, t) for _, o, t in own]
         assert keys == sorted(keys)
     assert numbered(df.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_documents_in_blocks(spark):
+    """One file has a third of all pages and fills many partitions; blocks end where they are full."""
+    from quillspark.operators import assembly
+
+    rows = [("hot" if i % 3 == 0 else f"f{i % 40}", i, None if i % 19 == 0 else " \r\n" if i % 23 == 0 else f"t{i}\r\n\n\n\n" + "é" * (i % 50)) for i in range(1500)]
+    df = spark.createDataFrame([*rows, ("one", 0, "alone"), ("none", 0, " ")], "filename string, page int, text string")
+    got = collections.defaultdict(list)
+    for r in assembly.pdf_blocks(df, 200).collect():
+        got[r["filename"]].append((r["block"], r["offset"], r["text"]))
+    whole = {}
+    for name, parts in got.items():
+        parts.sort()
+        at = 0
+        for block, offset, text in parts:
+            assert offset == at and offset // 200 == block and len(text) < 200 + 80
+            at += len(text)
+        whole[name] = "".join(t for *_, t in parts)
+    clean = lambda t: (t or "").replace("\r\n", "\n").replace("\n\n\n\n", "\n\n").strip()
+    want = {name: "\n\n".join(f"## Page {i + 1}\n\n{clean(t)}" for n, i, t in rows if n == name and clean(t)) for name in {n for n, *_ in rows}}
+    assert whole == want | {"one": "alone"} and len(got["hot"]) > 20
+    notes = {r["filename"]: (r["pages"], len(r["warnings"])) for r in assembly.pdf_notes(df).collect()}
+    assert notes["one"] == (1, 0) and notes["none"] == (1, 1) and notes["hot"] == (500, 1)
