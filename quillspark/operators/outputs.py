@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from pathlib import Path
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,22 +98,5 @@ def crawl_summary(visited: DataFrame, mode: str, min_words: int = 0) -> DataFram
     return out.select("root", F.lit(mode).alias("mode"), (default_output(host, mode) if mode != "map" else F.lit(None).cast("string")).alias("output"), "discovered", "crawled", "warnings")
 
 
-def write_mirror(df: DataFrame, folder: str) -> int:
-    """path, content as files of a tree, each written by the task that holds its row; returns their number. Of rows with one
-    path, any may win. The folder must be one that all executors share."""
-
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                target = Path(folder, path)
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-                part.write_text(content, encoding="utf-8", newline="")
-                part.replace(target)  # whole, also where a task is run twice
-            yield pd.DataFrame({"n": [len(frame)]})
-
-    return df.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def write_jsonl(df: DataFrame, folder: str) -> None:
     df.select(F.col("line").alias("value")).write.text(folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,14 +23,44 @@ FILE_INPUT_ACCEPT = ",".join(f".{x}" for x in SUPPORTED)
 READ_AS_TEXT = ["txt", "md", "markdown", "mdx", "html", "htm", "csv", "rtf"]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """filename, text and content (binary) of files: text is null for binary formats."""
-    files = spark.read.format("binaryFile").load(path)
+def _named(files: DataFrame) -> DataFrame:
     name = T.base_name(F.col("path"))
     text = F.when(T.file_extension(name).isin(READ_AS_TEXT), T.to_text(F.col("content")))
     return files.select(name.alias("filename"), text.alias("text"), "content")
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """filename, text and content (binary) of files: text is null for binary formats."""
+    return _named(spark.read.format("binaryFile").load(path))
+
+
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def convert_new(spark: SparkSession, path: str, output: str, log: str, files_a_batch: int = 10_000, **options) -> int:
+    """Convert the files of a folder that no earlier run with this log has seen, and append them to the Parquet table output;
+    returns their number. options are those of convert().
+
+    A stream that ends once all files present are through (available now): log is its checkpoint, where Spark keeps the names
+    of files seen, and output has each batch once, also where a run broke off and the next one does that batch again. A file
+    that is written anew under its name is not read again.
+    """
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").load(path)
+    before = _rows(spark, output)
+    run = convert(_named(files), **options).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(output)
+    run.awaitTermination()
+    return _rows(spark, output) - before
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    try:
+        return spark.read.schema("filename string").parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
 def handler(filename: Column) -> Column:
     """Handler of a file by its extension; null if there is none."""
     kinds = F.create_map(*(F.lit(x) for kv in HANDLERS.items() for x in kv))

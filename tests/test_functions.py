@@ -148,9 +148,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/b.png").write_bytes(b"\x89PNG")
     got = {r["filename"]: (r["text"], bytes(r["content"])) for r in S.read_files(spark, str(tmp_path / "in")).collect()}
     assert got["a.txt"][0] == "hi�\r\n" and got["b.png"] == (None, b"\x89PNG")
-    page = spark.createDataFrame([("a/b.md", "x\ny"), ("index.md", "é")], "path string, content string")
-    assert O.write_mirror(page, str(tmp_path / "site")) == 2 and (tmp_path / "site/a/b.md").read_text() == "x\ny" and (tmp_path / "site/index.md").read_text() == "é"
-    assert O.write_mirror(page.limit(0), str(tmp_path / "none")) == 0
 
 
 def test_documents(spark):
