@@ -13,6 +13,7 @@ from .operators import assembly as A
 from .operators import outputs as O
 from .registry import DECODED_SQL, NORM_SQL, ORACLE_SQL, QUERIES, query, table
 from .sources import files as S
+from .sources import mirror as M
 
 FETCHED = "2024-01-01T00:00:00.000Z"
 
@@ -135,6 +136,18 @@ def snk_03_front_matter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", O.mirror_file(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.lit(0), F.length("html"), F.lit("")).alias("front"))
 
 
+@query(rf"""WITH n AS (SELECT page_id, url, html, {NORM_SQL} AS u FROM pages), p AS (SELECT page_id, url, html, regexp_replace(u, '^https?://[^/]+', '') AS path FROM n),
+m AS (SELECT url, CASE WHEN path = '/' THEN 'index.md' WHEN regexp_matches(path, '[.][^/]*$') THEN regexp_replace(substr(path, 2), '[.][^./]*$', '') || '.md' ELSE substr(path, 2) || '/index.md' END AS path,
+ concat_ws(chr(10), '---', 'title: "' || replace({DECODED_SQL}, '"', '\"') || '"', 'url: "' || url || '"', 'depth: ' || page_id % 5, 'wordCount: ' || length(html), '---', '', '_No markdown extracted._', '') AS content FROM p)
+SELECT path, arg_min(content, url) AS content FROM m GROUP BY path""")
+def snk_03_mirror(spark, sf_dir):
+    """The files of a mirror of all pages, hosts on top of each other: of pages with one path the smallest address's."""
+    pages = table(spark, sf_dir, "pages")
+    content = O.mirror_file(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.col("page_id") % 5, F.length("html"), F.lit(""))
+    files = pages.select(U.mirror_path(U.normalise(F.col("url"), F.col("url"))).alias("path"), content.alias("content"), "url")
+    return M.one_a_path(files, "url")
+
+
 @query(f"""WITH {_RECORDS_SQL} SELECT page_id, CAST(to_json({{'url': url, 'title': title, 'markdown': text, 'metadata': {{'depth': depth, 'source': 'link', 'fetchedAt': '{FETCHED}', 'wordCount': words, 'warnings': CASE WHEN page_id % 4 = 0 THEN ['a', 'b'] ELSE [] END}}}}) AS VARCHAR) AS line FROM w""")
 def snk_04_jsonl(spark, sf_dir):
     line = O.jsonl(*(F.col(c) for c in ("url", "title", "text", "depth")), F.lit("link"), F.lit(FETCHED), F.col("words"), F.col("warnings"))
@@ -200,16 +213,11 @@ def src_21_word_boxes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split(T.layout_table(T.word_boxes(words)), "\n"), -1).alias("row"))
 
 
-@query("SELECT p_partkey AS id, floor(p_retailprice * 100 + 0.5) / 100 AS cost FROM part WHERE p_retailprice > 0 AND NOT contains(p_name, 'embed') ORDER BY cost, id LIMIT 20")
-def udf_08_models(spark, sf_dir):
-    """The cheapest entries of a catalogue, for which parts stand in; the limit is the feature."""
-    rows = table(spark, sf_dir, "part").where((F.col("p_retailprice") > 0) & ~F.col("p_name").contains("embed"))
-    return rows.select(F.col("p_partkey").alias("id"), (F.floor(F.col("p_retailprice") * 100 + 0.5) / 100).cast("double").alias("cost")).orderBy("cost", "id").limit(20)
-
-
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
-def ctl_06_status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+@query("SELECT o_custkey AS report, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS warn, count(*) FILTER (o_orderstatus = 'P') AS fail, CAST(count(*) FILTER (o_orderstatus = 'P') > 0 AS INT) AS exit_code FROM orders GROUP BY o_custkey")
+def ctl_06_status_report(spark, sf_dir):
+    """Each customer's orders as the checks of a report."""
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "warn").otherwise("fail")
+    return O.status_report(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("report"), status.alias("status")))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace('`co<de>` ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<span class="pbw-md-code">`\1`</span>', 'g'), '(\[[^\]]+\]\([^)]+\))', '<span class="pbw-md-link">\1</span>', 'g') AS html FROM documents""")

@@ -154,8 +154,8 @@ def split_patterns(s: str) -> list[str]:
 
 def hrefs(html: Column) -> Column:
     """Link targets in document order, repeats included; empty ones, fragments and mailto, tel, javascript and data left out."""
-    ways = [F.regexp_extract_all(html, F.lit(LINK), F.lit(k)) for k in (1, 2, 3)]  # of the three groups, one has text
-    found = F.transform(F.arrays_zip(*(w.alias(f"w{k}") for k, w in enumerate(ways))), lambda x: F.concat(x["w0"], x["w1"], x["w2"]))
+    # The page is searched once; of the three groups of a tag found, one has text.
+    found = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda tag: F.concat(*(F.regexp_extract(tag, LINK, k) for k in (1, 2, 3))))
     return F.filter(F.transform(found, trim_all), lambda h: (h != "") & ~h.rlike("(?i)^(?:#|mailto:|tel:|javascript:|data:)"))
 
 

@@ -1,4 +1,4 @@
-"""Page sections, files, JSON lines and whole-site documents."""
+"""Page sections, files, JSON lines, whole-site documents and reports."""
 
 from __future__ import annotations
 
@@ -98,5 +98,12 @@ def crawl_summary(visited: DataFrame, mode: str, min_words: int = 0) -> DataFram
     return out.select("root", F.lit(mode).alias("mode"), (default_output(host, mode) if mode != "map" else F.lit(None).cast("string")).alias("output"), "discovered", "crawled", "warnings")
 
 
+def status_report(checks: DataFrame) -> DataFrame:
+    """report, ok, warn, fail (numbers of checks), exit_code (1 if any failed) of each report; checks: report, status."""
+    n = lambda status: F.count_if(F.col("status") == status).alias(status)
+    counts = checks.groupBy("report").agg(n("ok"), n("warn"), n("fail"))
+    return counts.withColumn("exit_code", (F.col("fail") > 0).cast("int"))
+
+
 def write_jsonl(df: DataFrame, folder: str) -> None:
     df.select(F.col("line").alias("value")).write.text(folder)
