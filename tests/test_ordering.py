@@ -47,3 +47,29 @@ def test_documents_in_blocks(spark):
     assert whole == want | {"one": "alone"} and len(got["hot"]) > 20
     notes = {r["filename"]: (r["pages"], len(r["warnings"])) for r in assembly.pdf_notes(df).collect()}
     assert notes["one"] == (1, 0) and notes["none"] == (1, 1) and notes["hot"] == (500, 1)
+
+
+def test_what_was_visited_is_not_shuffled_again(spark):
+    """A level's anti-join reads the visited pages in their buckets, and its join with the links those in theirs."""
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import crawl as C
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen, graph = C.Bucketed(spark, "seen", ["root", "url"], ["depth"]), C.Bucketed(spark, "links", ["src"])
+    try:
+        pages = spark.range(100).selectExpr("concat('http://h', id % 3, '.test/') AS root", "concat('http://h', id % 3, '.test/', id) AS url", "'x' AS source", "lpad(id, 4, '0') AS seq", "200 AS status", "cast(null as string) AS warning", "0L AS n")
+        for depth in range(3):
+            seen.append(pages.where(f"url like '%{depth}'").withColumn("depth", F.lit(depth)))
+        graph.append(pages.selectExpr("url AS src", "concat(url, '0') AS dst", "0 AS pos"))
+        assert seen.rows().count() == 30 and seen.rows().where("depth = 1").count() == 10
+        first = C._first(pages, seen.rows())
+        exchanges = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+        assert first.count() == 70 and len(exchanges(first)) == 1  # that of the level itself
+        assert len(exchanges(seen.rows().join(graph.rows(), F.col("url") == F.col("src")))) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        seen.drop()
+        graph.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("seen", "links"))]
