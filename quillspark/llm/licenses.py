@@ -3,7 +3,8 @@
 A template is license wording with SPDX-style markup, <<beginOptional>>...<<endOptional>> and
 <<var;name;most>> (a replaceable region of at most so many words). It is compiled into an automaton
 over words; a text is accepted where it holds words that take the automaton from start to end, so
-the mandatory wording must match exactly. Labels of phrases (the base) and of templates are kept apart.
+the mandatory wording must match exactly. Labels of phrases (the base) and of templates are kept apart, so a license may have
+two: apache-2 (its phrase) and Apache-2.0 (its template) are one, and so are mit and MIT.
 
 Words: A-Z lower-cased, runs of ASCII letters, digits and any non-ASCII characters.
 
