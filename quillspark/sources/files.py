@@ -43,8 +43,10 @@ def convert_new(spark: SparkSession, path: str, output: str, log: str, files_a_b
 
     A stream that ends once all files present are through (available now): log is its checkpoint, where Spark keeps the names
     of files seen, and output has each batch once, also where a run broke off and the next one does that batch again. A file
-    that is written anew under its name is not read again.
+    that is written anew under its name is not read again. A store of descriptions is for whole tables, not for streams.
     """
+    if options.get("store") is not None:
+        raise ValueError("descriptions can't be kept in a store by a stream")
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").load(path)
     before = _rows(spark, output)
     run = convert(_named(files), **options).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(output)
