@@ -184,17 +184,17 @@ def _blocks_sql(pieces: str, group: str, order: str, between: int, size: int) ->
     """Blocks of documents put together from pieces (text, by order) with line feeds between them."""
     gap = f"repeat(chr(10), {between})"
     return f"""p AS ({pieces}), s AS (SELECT {group}, text, row_number() OVER w - 1 AS place, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + greatest(row_number() OVER w - 2, 0) * {between} AS pos FROM p WINDOW w AS (PARTITION BY {group} ORDER BY {order}))
-SELECT {group}, CAST(pos // {size} AS BIGINT) AS block, CAST(min(pos) AS BIGINT) AS "offset", string_agg(CASE WHEN place > 0 THEN {gap} ELSE '' END || text, '' ORDER BY place) AS text FROM s GROUP BY {group}, pos // {size}"""
+SELECT {group}, CAST(b AS BIGINT) AS block, CAST(min(pos) AS BIGINT) AS "offset", string_agg(CASE WHEN place > 0 THEN {gap} ELSE '' END || text, '' ORDER BY place) AS text FROM (SELECT *, CASE WHEN sum(length(text) + {between}) OVER (PARTITION BY {group}) <= {size} THEN 0 ELSE pos // {size} END AS b FROM s) GROUP BY {group}, b"""
 
 
 _CLEAN_SQL = r"trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-@query("WITH c AS (SELECT conv_id, turn, " + _CLEAN_SQL + " AS text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), " + _blocks_sql("SELECT conv_id, turn, CASE WHEN n > 1 THEN '## Page ' || (turn + 1) || chr(10) || chr(10) ELSE '' END || text AS text FROM c WHERE text <> ''", "conv_id", "turn", 2, 1000))
+@query("WITH c AS (SELECT conv_id, turn, " + _CLEAN_SQL + " AS text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), " + _blocks_sql("SELECT conv_id, turn, CASE WHEN n > 1 THEN '## Page ' || (turn + 1) || chr(10) || chr(10) ELSE '' END || text AS text FROM c WHERE text <> ''", "conv_id", "turn", 2, 100_000))
 def src_12_pdf_assembly(spark, sf_dir):
-    """Turns of a conversation as the pages of a PDF, in blocks of 1,000 characters."""
+    """Turns of a conversation as the pages of a PDF, in blocks of 100,000 characters."""
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("filename"), F.col("turn").alias("page"), "text")
-    return A.pdf_blocks(pages, 1000).withColumnRenamed("filename", "conv_id")
+    return A.pdf_blocks(pages, 100_000).withColumnRenamed("filename", "conv_id")
 
 
 @query("WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 OR conv_id % 7 = 0 THEN '' ELSE text END AS text FROM conversations) SELECT conv_id, count(*) AS pages, CASE WHEN count(*) FILTER (text <> '') = 0 THEN 'No selectable text was found. This PDF may be image-based.' WHEN count(*) FILTER (text <> '') < count(*) THEN 'Some pages had little or no extractable text.' ELSE '' END AS warnings FROM c GROUP BY conv_id")
@@ -268,11 +268,11 @@ def src_22_types(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.image_type(ending).alias("type"), ending.isin(S.READ_AS_TEXT).alias("as_text"))
 
 
-@query("WITH " + _blocks_sql("SELECT conv_id, turn, text FROM conversations WHERE text <> ''", "conv_id", "turn", 1, 500))
+@query("WITH " + _blocks_sql("SELECT conv_id, turn, text FROM conversations WHERE text <> ''", "conv_id", "turn", 1, 2000))
 def ext_08_region_merge(spark, sf_dir):
-    """Turns of a conversation as picked regions, joined in document order, in blocks of 500 characters."""
+    """Turns of a conversation as picked regions, joined in document order, in blocks of 2,000 characters."""
     picks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("pos"), F.col("text").alias("html"))
-    return A.merged_regions(picks, 500).withColumnRenamed("page", "conv_id")
+    return A.merged_regions(picks, 2000).withColumnRenamed("page", "conv_id")
 
 
 @query("""SELECT c_custkey, 'Name: ' || c_name || chr(10) || chr(10) || ' caf' || chr(233) || ' ' || chr(128512) || ' ' || c_mktsegment || chr(10) || 'end' AS text FROM customer""")
@@ -338,7 +338,7 @@ def page_overview(spark, sf_dir):
     """Title, numbers of links and of links within the site, and words of the text outside tags, of every page."""
     pages = table(spark, sf_dir, "pages").withColumn("links", U.hrefs(F.col("html"))).withColumn("origin", U.origin(F.col("url")))
     inside = F.filter("links", lambda h: U.is_internal_href(h, F.col("origin")))
-    words = T.word_count(T.plain_text(F.col("html")))
+    words = T.word_count(T.without_tags(F.col("html")))
     return pages.select("page_id", U.page_title(F.col("html"), F.col("url")).alias("title"), F.size("links").cast("long").alias("links"), F.size(inside).cast("long").alias("internal_links"), words.alias("words"))
 
 

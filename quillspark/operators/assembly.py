@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pdf_text
 from .ordering import running
+from .shared import written
 
 #: Characters of a block, but for a piece that is longer itself.
 BLOCK = 1 << 20
 
 
-def assembled(pieces: DataFrame, group: str, order: str, between: str, size: int = BLOCK) -> DataFrame:
-    """group, block, offset, text: each document's blocks, which joined in order of block are its pieces (column text, by order)
-    with between among them; offset is where a block begins in the document, in characters. Pieces that are null or empty are
-    left out; a document without others has no block."""
-    rows = pieces.where("text <> ''").select(group, order, "text")
-    placed = running(rows, [group], [order], {"chars": F.length("text")})
+def _whole(pieces: DataFrame, group: str, order: str, between: str) -> DataFrame:
+    of = pieces.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("x"))
+    return of.select(group, *(F.lit(0).cast("long").alias(c) for c in ("block", "offset")), F.array_join("x.text", between).alias("text"))
+
+
+def _cut(pieces: DataFrame, group: str, order: str, between: str, size: int) -> DataFrame:
+    placed = running(pieces, [group], [order], {"chars": F.length("text")})
     start = F.col("chars") + F.greatest(F.col("place") - 1, F.lit(0)) * len(between)
     said = F.concat(F.when(F.col("place") > 0, between).otherwise(""), "text")
     placed = placed.select(group, "place", start.alias("offset"), F.floor(start / size).alias("block"), said.alias("said"))
@@ -25,6 +27,20 @@ def assembled(pieces: DataFrame, group: str, order: str, between: str, size: int
     return blocks.select(group, "block", "offset", F.array_join("x.said", "").alias("text"))
 
 
+def assembled(pieces: DataFrame, group: str, order: str, between: str, size: int = BLOCK) -> DataFrame:
+    """group, block, offset, text: each document's blocks, which joined in order of block are its pieces (column text, by order)
+    with between among them; offset is where a block begins in the document, in characters. Pieces that are null or empty are
+    left out; a document without others has no block. A document of at most size characters is put together at once; one that is
+    longer goes by running sums, and a block begins with the first piece in each size of its characters."""
+    rows = pieces.where("text <> ''").select(group, order, "text")
+    total = F.sum(F.length("text")) + F.count("*") * len(between)
+    long = written(rows.groupBy(group).agg(total.alias("_n")).where(F.col("_n") > size).select(group), "long-documents")
+    if long.isEmpty():
+        return _whole(rows, group, order, between)
+    kept = lambda how: rows.join(long, group, how).select(group, order, "text")
+    return _whole(kept("left_anti"), group, order, between).union(_cut(kept("left_semi"), group, order, between, size))
+
+
 def pdf_blocks(pages: DataFrame, size: int = BLOCK) -> DataFrame:
     """filename, block, offset, text of files given as the texts of their pages (filename, page from 0, text): pages are numbered
     as in the file, unless it has one only, and blank ones left out."""
