@@ -45,6 +45,13 @@ def txt_08_rows_totable(spark, sf_dir):
     return rows.select(F.lit("nation").alias("name"), T.table_markdown(cells).alias("markdown"))
 
 
+@query("""SELECT 2 AS part, o_orderkey AS place, '| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || replace(o_orderpriority, '|', '\\|') || ' |' AS line FROM orders
+UNION ALL SELECT 0, 0, '| o_orderkey | o_orderstatus | o_orderpriority |' UNION ALL SELECT 1, 0, '| --- | --- | --- |'""")
+def txt_08_table_lines(spark, sf_dir):
+    """All orders as one Markdown table, a line a row."""
+    return O.table_lines(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
 @query("SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '> end' AS quoted FROM conversations")
 def txt_11_blockquote(spark, sf_dir):
     """Every turn and a last line, parted as Windows does."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_all
+from ..functions.text import escape_cell, trim_all
 from ..functions.urls import default_output
 
 
@@ -98,6 +98,17 @@ def crawl_summary(visited: DataFrame, mode: str, min_words: int = 0) -> DataFram
     return out.select("root", F.lit(mode).alias("mode"), (default_output(host, mode) if mode != "map" else F.lit(None).cast("string")).alias("output"), "discovered", "crawled", "warnings")
 
 
+def table_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """part, place, line: a table of any length as Markdown, a line a row: 0 the head, 1 the rule below, 2 the rows at their place
+    (order, a number). Written in this order they are the table; no row holds more than a line. Nulls are empty cells."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*map(escape_cell, cells)), " | "), F.lit(" |"))
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(0, 0), (1, 0)], "part int, place long")
+    head = F.when(F.col("part") == 0, line([F.lit(c) for c in columns])).otherwise(F.lit("| " + " | ".join(["---"] * len(columns)) + " |"))
+    body = rows.select(F.lit(2).alias("part"), F.col(order).cast("long").alias("place"), line([F.col(c).cast("string") for c in columns]).alias("line"))
+    return top.select("part", "place", head.alias("line")).union(body)
+
+
 def status_report(checks: DataFrame) -> DataFrame:
     """report, ok, warn, fail (numbers of checks), exit_code (1 if any failed) of each report; checks: report, status."""
     n = lambda status: F.count_if(F.col("status") == status).alias(status)
