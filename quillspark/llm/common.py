@@ -31,24 +31,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Spark's own switch that removes a query's shuffle files as soon as it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def _with(spark: SparkSession, **settings: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @contextmanager
 def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries inside go once they are over, as nothing reads them again. Queries that other threads
-    run meanwhile may lose theirs as early; they would be made anew, so results don't change."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    """Shuffle files of the queries inside go once they are over (by a switch of Spark's), as nothing reads them again. Queries
+    that other threads run meanwhile may lose theirs as early; they would be made anew, so results don't change."""
+    with _with(spark, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         yield
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+#: Bytes that a Python worker gets at once. As text, arrays and results they take some ten times that, and a worker keeps what
+#: its largest batch took.
+BATCH = "8m"
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
-    with shuffle_files_go(df.sparkSession):
+    with shuffle_files_go(df.sparkSession), _with(df.sparkSession, **{"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
         df.write.partitionBy(*partition_by).parquet(path)
 
 
