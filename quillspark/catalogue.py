@@ -11,7 +11,7 @@ from .functions import urls as U
 from .operators import crawl as C
 from .operators import assembly as A
 from .operators import outputs as O
-from .registry import DECODED_SQL, NORM_SQL, ORACLE_SQL, QUERIES, query, table
+from .registry import DECODED_SQL, NORM_SQL, ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from .sources import files as S
 from .sources import mirror as M
 
