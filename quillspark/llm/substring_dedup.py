@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, renamed, scratch_path, shuffle_files_go, texts, whole_text, write_table
+from .common import WORD, materialise, renamed, scratch_path, shuffle_files_go, texts, whole_text
 
 WINDOW = 35
 SHINGLE = 6
