@@ -148,11 +148,12 @@ m AS (SELECT url, CASE WHEN path = '/' THEN 'index.md' WHEN regexp_matches(path,
  concat_ws(chr(10), '---', 'title: "' || replace({DECODED_SQL}, '"', '\"') || '"', 'url: "' || url || '"', 'depth: ' || page_id % 5, 'wordCount: ' || length(html), '---', '', '_No markdown extracted._', '') AS content FROM p)
 SELECT path, arg_min(content, url) AS content FROM m GROUP BY path""")
 def snk_03_mirror(spark, sf_dir):
-    """The files of a mirror of all pages, hosts on top of each other: of pages with one path the smallest address's."""
+    """The files of a mirror of all pages, hosts on top of each other: of pages with one path the smallest address's, of pages
+    with one address the first."""
     pages = table(spark, sf_dir, "pages")
     content = O.mirror_file(U.page_title(F.col("html"), F.col("url")), F.col("url"), F.col("page_id") % 5, F.length("html"), F.lit(""))
-    files = pages.select(U.mirror_path(U.normalise(F.col("url"), F.col("url"))).alias("path"), content.alias("content"), "url")
-    return M.one_a_path(files, "url")
+    files = pages.select(U.mirror_path(U.normalise(F.col("url"), F.col("url"))).alias("path"), content.alias("content"), "url", "page_id")
+    return M.one_a_path(files, "url", "page_id")
 
 
 @query(f"""WITH {_RECORDS_SQL} SELECT page_id, CAST(to_json({{'url': url, 'title': title, 'markdown': text, 'metadata': {{'depth': depth, 'source': 'link', 'fetchedAt': '{FETCHED}', 'wordCount': words, 'warnings': CASE WHEN page_id % 4 = 0 THEN ['a', 'b'] ELSE [] END}}}}) AS VARCHAR) AS line FROM w""")

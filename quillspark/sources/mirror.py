@@ -95,9 +95,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Mirror)
 
 
-def one_a_path(files: DataFrame, key: str) -> DataFrame:
-    """path, content: of rows with one path the one with the smallest key, then content; files: path, content, key."""
-    best = F.min_by("content", F.struct(F.col(key).isNull(), F.col(key), "content")).alias("content")
+def one_a_path(files: DataFrame, *keys: str) -> DataFrame:
+    """path, content: of rows with one path the one with the smallest keys, in their order and nulls last, then content; files:
+    path, content, keys."""
+    order = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    best = F.min_by("content", F.struct(*order, "content")).alias("content")
     return files.groupBy("path").agg(best)
 
 

@@ -2,8 +2,10 @@
 
 import os
 
+import duckdb
 import pytest
 
+from quillspark import catalogue
 from quillspark.sources import files as S
 from quillspark.sources import mirror as M
 
@@ -42,6 +44,17 @@ def test_mirror(spark, tmp_path):
     assert _tree(site) == {} and os.listdir(tmp_path) == ["site"]
 
 
+def test_of_pages_with_one_address_the_first_is_mirrored(spark, tmp_path):
+    """As the SQL has it in one thread: contents don't decide, whatever their order."""
+    html = lambda t: f"<title>{t}</title>"
+    rows = [(1, "http://h.test/b", html("z")), (2, "http://h.test/b", html("a")), (3, "http://i.test/b", html("b")), (4, "http://h.test/c", html("c")), (5, "http://h.test/c", html("d")), (6, "http://g.test/c/", html("y"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, catalogue.snk_03_mirror(spark, str(tmp_path)).select("path", "content").collect()))
+    assert got == sorted(duck.execute(catalogue.ORACLE_SQL["snk_03_mirror"]).fetchall()) and 'title: "z"' in got[0][1]
+
+
 def test_a_failed_job_leaves_the_mirror_as_it_was(spark, tmp_path):
     site = str(tmp_path / "site")
     fine = spark.createDataFrame([("a.md", "x", "u")], "path string, content string, url string")
