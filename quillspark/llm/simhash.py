@@ -249,11 +249,17 @@ def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
     return df.select(*order)
 
 
-def _refined(crowd: DataFrame) -> DataFrame:
-    """Crowded buckets cut finer: a set is dealt by each pair of its buckets (at most BANDS of them)."""
-    both = crowd.groupBy("sk", "n", "fp").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    return both.select(F.explode(pairs).alias("k"), "sk", "n", "fp")
+def _refined(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Crowded buckets cut finer: a set is dealt by its rarest shingles, so many of them that any two sets which reach the
+    similarity have one in common (a prefix filter), whatever buckets they shared. A shingle that no other set here has
+    counts among them, but makes no bucket."""
+    some = crowd.groupBy("sk").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    shingles = materialise(some.join(sets, "sk").select("sk", "n", "fp", F.explode("hashes").alias("k")), "near-shingles")
+    often = shingles.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    shared = shingles.join(often, "k").groupBy("sk", "n", "fp").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("s"))
+    # Of n shingles the first n - ceil(similarity * n) + 1, less those of no other set.
+    first = F.size("s") - F.ceil(similarity * F.col("n") - 1e-6).cast("int") + 1
+    return shared.where(first > 0).select(F.explode(F.slice("s", F.lit(1), first)).alias("x"), "sk", "n", "fp").select("x.k", "sk", "n", "fp")
 
 
 def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame | None:
@@ -262,16 +268,16 @@ def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: fl
     members: k, sk, n, fp of buckets of candidates; more: other candidate pairs (a, b). By order of sk, a
     set stays unless it is close to a smaller one that stays. A round compares all sets of buckets of up to SMALL, which are
     then done with, and in larger ones the LEADERS smallest with all. The sets that stay or go leave, and so groups of copies
-    do; what is left meets the next round, after COARSE rounds in buckets of two bands, block sets of each with all. So work
-    never grows with a bucket's square unless very many sets share two bands and none is close to others; those, too, are
-    compared in full, block by block.
+    do; what is left meets the next round, after COARSE rounds in buckets of one rare shingle, block sets of each with all and
+    twice as many each time. No pair is left out by that. So work never grows with a bucket's square unless very many sets
+    share one of their rarest shingles and none is close to others; those, too, are compared in full, block by block.
     """
     close = materialise(_verified(more, sets, similarity), "near-close")
     crowd, dropped, rounds = members, None, 0
     while crowd is not None or not close.isEmpty():
         waiting = lead = None
         if crowd is not None:
-            least, few = (SMALL, LEADERS) if rounds < COARSE else (block, block)
+            least, few = (SMALL, LEADERS) if rounds < COARSE else (block << min(rounds - COARSE, 10),) * 2
             ranked = crowd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("sk"))).where(F.col("r") <= least + 1)
             ranked = ranked.withColumn("c", F.max("r").over(Window.partitionBy("k"))).where((F.col("c") <= least) | (F.col("r") <= few))
             lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fpa")), "near-lead")
@@ -291,7 +297,7 @@ def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: fl
         if crowd is not None:
             large = waiting.select("k").distinct()
             crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n", "fp"), gone.union(stay), "sk")
-            crowd = materialise(_refined(crowd) if rounds == COARSE else crowd, "near-buckets")
+            crowd = materialise(_refined(crowd, sets, similarity) if rounds == COARSE else crowd, "near-buckets")
             crowd = None if crowd.isEmpty() else crowd
     return dropped
 
@@ -303,7 +309,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 3, simil
     A set yields to those that share more bands with others (then, to a smaller hash).
     Of rows with equal sets of shingles the one with the smallest doc_id stays (of rows repeating it, one; of rows without
     any doc_id, one). Candidates are fingerprints at bits or fewer differing bits, and sets that agree in one of BANDS bands
-    of ROWS minimum hashes (in crowded buckets, two) and whose fingerprints differ in APART bits at most: at a similarity
+    of ROWS minimum hashes and whose fingerprints differ in APART bits at most: at a similarity
     of 0.8, all but 9 pairs in 10,000 are expected to; all candidates are verified.
     """
     rows = materialise(sketches(docs, shingle), "near-sketches")

@@ -171,6 +171,18 @@ def test_near_duplicates_reach_the_similarity(spark, monkeypatch, crowd):
     assert all(any(near(i, j) for j in kept) for i in set(range(len(made))) - kept)
 
 
+def test_close_sets_of_one_crowded_bucket_meet(spark):
+    """Forty sets share one bucket and half of their shingles; two pairs are close, one of them just so."""
+    half = list(range(100))
+    hashes = {i: [*half, *range(1000 * i, 1000 * i + 100)] for i in range(1, 41)}
+    hashes[31] = hashes[30][:-1]
+    hashes[38] = [*hashes[37][:200], *range(90_000, 90_050)]  # 200 of 250
+    sets = spark.createDataFrame(list(hashes.items()), "sk long, hashes array<long>")
+    members = spark.createDataFrame([(1, i, len(h), 0) for i, h in hashes.items()], "k long, sk long, n long, fp long")
+    gone = simhash.covered(members, spark.createDataFrame([], "a long, b long"), sets, 0.8)
+    assert sorted(x["sk"] for x in gone.collect()) == [31, 38]
+
+
 def _base_spans(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     kinds = {
