@@ -13,6 +13,7 @@ columns other than doc_id and text are ignored. Texts are tokenised whole.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -36,6 +37,13 @@ CACHE = 1_000_000
 MARKS = b".,!?;:*#$%&|<>()"
 
 
+#: Words of letters that the vocabulary only lower-cases and spells as bytes, each byte as the character that stands for it.
+PLAIN = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(0x100) if x not in _SHOWN)}
+_SPELLED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
 class _Ids:
     """Little-endian 32-bit ids of words. Ids of a text are those of its words, as the vocabulary drops white space."""
 
@@ -43,24 +51,43 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
 
+    def _whole(self, words: list[bytes]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+            yield b"".join([self.bytes[i] for i in e.ids])
+
     def learn(self, words: set[bytes]) -> None:
-        """Add words to known. The vocabulary folds case and parts a letter from the marks after it, so only bare
-        words in lower case and runs of marks are tokenised; what may be a special token is left as it is."""
+        """Add words to known. The vocabulary folds case and parts a letter from the marks after it, so a bare word in lower
+        case and a run of marks are tokenised each for itself. Plain words go to its merges at once, others by way of its
+        patterns; what may be a special token is left as it is."""
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        new = words.difference(self.known)
-        folded = {w: (w if b"<|" in w else w.lower()) for w in new}
-        bare = {w: (b if b"<|" not in w and (b := f.rstrip(MARKS))[-1:].isalpha() else f) for w, f in folded.items()}
-        tails = {w: folded[w][len(b) :] for w, b in bare.items()}
-        fresh = list({*bare.values(), *tails.values(), b""}.difference(self.known))
-        for i in range(0, len(fresh), 2000):
-            part = fresh[i : i + 2000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, [struct.pack(f"<{len(i)}I", *i) for i in [e.ids for e in found]]))
-        known = self.known
-        known.update({w: known[b] + known[tails[w]] for w, b in bare.items()})
+        known, merged, rest = self.known, self.tokenizer.model.tokenize, []
+        for w in words.difference(known):
+            folded = w.lower()
+            bare = folded.rstrip(MARKS)
+            tail = folded[len(bare) :]
+            if b"<|" in w:
+                rest.append(w)
+                continue
+            ids = known.get(bare) if not tail or bare[-1:].isalpha() else None
+            if ids is None:
+                letters = bare.decode()
+                if not PLAIN.fullmatch(letters):
+                    rest.append(w)
+                    continue
+                if not bare.isascii():
+                    letters = letters.lower().translate(_SPELLED)
+                ids = known[bare] = b"".join([self.bytes[t.id] for t in merged(letters)])
+            if tail:
+                if tail not in known:
+                    known[tail] = next(self._whole([tail]))
+                ids += known[tail]
+            known[w] = ids
+        for i in range(0, len(rest), 2000):
+            known.update(zip(rest[i : i + 2000], self._whole(rest[i : i + 2000])))
 
 
 _IDS: dict[str, _Ids] = {}

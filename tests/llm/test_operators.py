@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -171,6 +172,20 @@ def test_near_duplicates_reach_the_similarity(spark, monkeypatch, crowd):
     assert all(any(near(i, j) for j in kept) for i in set(range(len(made))) - kept)
 
 
+def test_plain_words_go_to_the_merges_alone():
+    """Words of Latin letters take no pattern; they and all others have the ids of the whole tokenizer."""
+    ids = packing._Ids(WORDS)
+    letters = [chr(c) for c in range(0x21, 0x180)]
+    words = [*letters, *("a" + c for c in letters), *(c + "n." for c in letters), "Straße.", "ÉCOLE!!", "l'été.", "it's.", "don't,", "a|b", "x", "<|endoftext|>", "a<|endoftext|>."]
+    ids.learn({w.encode() for w in words})
+    for w in words:
+        assert list(struct.unpack(f"<{len(ids.known[w.encode()]) // 4}I", ids.known[w.encode()])) == ids.tokenizer.encode(w, add_special_tokens=False).ids
+    asked, whole = [], ids._whole
+    ids._whole = lambda some: asked.extend(some) or whole(some)
+    ids.learn({b"Gleichung", "Fähigkeiten.".encode(), b"word,", b"2word"})
+    assert sorted(asked) in ([b"2word"], [b",", b"2word"])
+
+
 def test_close_sets_of_one_crowded_bucket_meet(spark):
     """Forty sets share one bucket and half of their shingles; two pairs are close, one of them just so."""
     half = list(range(100))
