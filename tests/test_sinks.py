@@ -87,3 +87,14 @@ def test_attempts_that_are_run_again_leave_no_strays(tmp_path):
     other.abort([])
     other.abort([])
     assert os.listdir(tmp_path) == ["site"]
+
+
+@pytest.mark.parametrize("columns", [["markdown"], ["markdown", "warnings"]])
+def test_csv_is_read_once(spark, capsys, columns):
+    """Rows of a CSV file are worked out once for its table and its warnings: the plan has the pattern of cells once."""
+    files = spark.createDataFrame([("a.csv", "x,y\n1,2,3\n"), ("b.csv", " , \n"), ("c.csv", '"a""b",c'), ("d.txt", "p,q")], "filename string, text string")
+    out = S.convert(files).select(*columns)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count(',((?:[^",]') == 1
+    assert [r["markdown"] for r in out.collect()] == ["| x | y | Column 3 |\n| --- | --- | --- |\n| 1 | 2 | 3 |", "", '| a"b | c |\n| --- | --- |', "p,q"]
