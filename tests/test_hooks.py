@@ -4,9 +4,11 @@ import glob
 import os
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import hooks
 from quillspark.operators.hooks import recognise
 from quillspark.operators.lookup import lookup
 from quillspark.sources import files as S
@@ -130,3 +132,14 @@ def test_lookup_broadcasts_what_is_small(spark):
     assert lookup(df, F.col("k"), dimension, "on", default=0).where("k > 4 and v <> 0").count() == 0
     with pytest.raises(ValueError, match="never is"):
         lookup(df, F.col("k"), dimension, "on", default=9)
+
+
+def test_hooks_hold_a_part_of_a_batch(spark):
+    """Rows of a batch become objects slice by slice, and all of them, in order."""
+    rows = pa.array([bytes(400_000)] * 20)
+    parts = list(hooks._parts(rows, pa.array(range(20))))
+    assert all(r.nbytes <= hooks.PART and len(r) == len(m) for r, m in parts) and [x for _, m in parts for x in m.to_pylist()] == list(range(20))
+    assert [len(r) for r, _ in hooks._parts(pa.array([bytes(3_000_000)] * 2), pa.array(["a", "b"]))] == [1, 1] and not list(hooks._parts(pa.array([], pa.binary()), pa.array([])))
+    made = spark.range(3000, numPartitions=1).select(F.concat("id", F.lit(".png")).alias("filename"), F.rpad(F.col("id").cast("string"), 2000, "x").cast("binary").alias("content"))
+    got = recognise(made, lambda: lambda content, language: {"text": content.decode().rstrip("x")}).select("filename", "ocr_text").collect()
+    assert [(r["filename"], r["ocr_text"]) for r in got] == [(f"{i}.png", str(i)) for i in range(3000)]
