@@ -238,8 +238,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("b"), "b").join(side("a"), "a").where(both >= similarity * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
 
 
-def _close_sizes(a: str, b: str, similarity: float) -> Column:
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+def _sizes_allow(na: Column, nb: Column, most: Column, similarity: float) -> Column:
+    """Whether sets of na and nb shingles that have at most so many in common can reach the similarity."""
+    return (1 + similarity) * most >= similarity * (na + nb) - 1e-6
 
 
 def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
@@ -252,14 +253,22 @@ def _without(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
 def _refined(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Crowded buckets cut finer: a set is dealt by its rarest shingles, so many of them that any two sets which reach the
     similarity have one in common (a prefix filter), whatever buckets they shared. A shingle that no other set here has
-    counts among them, but makes no bucket."""
+    counts among them, but makes no bucket. m of a bucket's set: its shingles from this one on that others have, too. In
+    the first bucket that two sets share they have no more than the lesser m in common (a positional filter), so sets that
+    are close to none of their bucket by their sizes and m leave it."""
     some = crowd.groupBy("sk").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
     shingles = materialise(some.join(sets, "sk").select("sk", "n", "fp", F.explode("hashes").alias("k")), "near-shingles")
     often = shingles.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     shared = shingles.join(often, "k").groupBy("sk", "n", "fp").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("s"))
     # Of n shingles the first n - ceil(similarity * n) + 1, less those of no other set.
     first = F.size("s") - F.ceil(similarity * F.col("n") - 1e-6).cast("int") + 1
-    return shared.where(first > 0).select(F.explode(F.slice("s", F.lit(1), first)).alias("x"), "sk", "n", "fp").select("x.k", "sk", "n", "fp")
+    placed = shared.where(first > 0).select(F.posexplode(F.slice("s", F.lit(1), first)).alias("i", "x"), F.size("s").alias("m"), "sk", "n", "fp")
+    placed = materialise(placed.select("x.k", "sk", "n", (F.col("m") - F.col("i")).cast("long").alias("m"), "fp"), "near-placed")
+    # One of two close sets is the smaller, and its m must do for two of its size. Others need one of these that they suit.
+    n, m = F.col("n"), F.col("m")
+    other = (1 + similarity) / similarity * m - n  # the most shingles that a close set can have
+    lesser = placed.where(_sizes_allow(n, n, m, similarity)).groupBy("k").agg(F.min("n").alias("from"), F.max(other).alias("to"))
+    return placed.join(lesser, "k").where((other >= F.col("from") - 1e-6) & (n <= F.col("to") + 1e-6)).select("k", "sk", "n", "m", "fp")
 
 
 def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame | None:
@@ -269,19 +278,20 @@ def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: fl
     set stays unless it is close to a smaller one that stays. A round compares all sets of buckets of up to SMALL, which are
     then done with, and in larger ones the LEADERS smallest with all. The sets that stay or go leave, and so groups of copies
     do; what is left meets the next round, after COARSE rounds in buckets of one rare shingle, block sets of each with all and
-    twice as many each time. No pair is left out by that. So work never grows with a bucket's square unless very many sets
-    share one of their rarest shingles and none is close to others; those, too, are compared in full, block by block.
+    twice as many each time, as far as a pair's sizes and places there allow it to be close. No pair is left out by that. So
+    work never grows with a bucket's square unless very many sets share one of their rarest shingles, with fewer rarer ones
+    than close sets may differ in, and none is close to others; those, too, are compared in full, block by block.
     """
     close = materialise(_verified(more, sets, similarity), "near-close")
-    crowd, dropped, rounds = members, None, 0
+    crowd, dropped, rounds = members.withColumn("m", F.col("n")), None, 0
     while crowd is not None or not close.isEmpty():
         waiting = lead = None
         if crowd is not None:
             least, few = (SMALL, LEADERS) if rounds < COARSE else (block << min(rounds - COARSE, 10),) * 2
             ranked = crowd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("sk"))).where(F.col("r") <= least + 1)
             ranked = ranked.withColumn("c", F.max("r").over(Window.partitionBy("k"))).where((F.col("c") <= least) | (F.col("r") <= few))
-            lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fpa")), "near-lead")
-            likely = _close_sizes("na", "n", similarity) & (_apart(F.col("fpa"), F.col("fp")) <= APART)
+            lead = materialise(ranked.select("k", F.col("sk").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("fp").alias("fpa")), "near-lead")
+            likely = _sizes_allow(F.col("na"), F.col("n"), F.least("ma", "m"), similarity) & (_apart(F.col("fpa"), F.col("fp")) <= APART)
             pairs = crowd.join(lead, "k").where((F.col("a") < F.col("sk")) & likely)
             pairs = materialise(pairs.select("a", F.col("sk").alias("b")).distinct(), "near-pairs")
             close = materialise(close.union(_verified(pairs, sets, similarity)).distinct(), "near-close")
@@ -296,7 +306,7 @@ def covered(members: DataFrame, more: DataFrame, sets: DataFrame, similarity: fl
         rounds += 1
         if crowd is not None:
             large = waiting.select("k").distinct()
-            crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n", "fp"), gone.union(stay), "sk")
+            crowd = _without(crowd.join(large, "k", "left_semi").select("k", "sk", "n", "m", "fp"), gone.union(stay), "sk")
             crowd = materialise(_refined(crowd, sets, similarity) if rounds == COARSE else crowd, "near-buckets")
             crowd = None if crowd.isEmpty() else crowd
     return dropped

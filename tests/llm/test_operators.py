@@ -198,6 +198,41 @@ def test_close_sets_of_one_crowded_bucket_meet(spark):
     assert sorted(x["sk"] for x in gone.collect()) == [31, 38]
 
 
+def test_a_large_group_without_close_sets_makes_few_pairs(spark, monkeypatch):
+    """Two hundred sets share 85 of 100 shingles, a similarity of 0.74; two more are close to one of them each."""
+    common = list(range(85))
+    hashes = {i: [*common, *range(1000 * i, 1000 * i + 15)] for i in range(1, 201)}
+    hashes[301] = [*hashes[100], *range(301_000, 301_025)]  # 100 of 125
+    hashes[302] = hashes[200][:80] + hashes[200][85:] + list(range(302_000, 302_006))  # 95 of 106
+    sets = spark.createDataFrame(list(hashes.items()), "sk long, hashes array<long>")
+    members = spark.createDataFrame([(1, i, len(h), 0) for i, h in hashes.items()], "k long, sk long, n long, fp long")
+    written, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: written.append((label, write(df, label))) or written[-1][1])
+    gone = simhash.covered(members, spark.createDataFrame([], "a long, b long"), sets, 0.8)
+    assert sorted(x["sk"] for x in gone.collect()) == [301, 302]
+    assert sum(df.count() for label, df in written if label == "near-pairs") < 5 * len(hashes)
+
+
+def test_refined_buckets_leave_out_no_close_pair(spark):
+    """Against brute force on sets of several sizes, most of them altered from one another, some just at the similarity."""
+    r = random.Random(4)
+    hashes = {0: list(range(60))}
+    for i in range(1, 120):
+        copy = hashes[r.randrange(i)]
+        copy = r.sample(copy, len(copy) - r.randint(0, len(copy) // 6)) + [r.randrange(3000) + 100 for _ in range(r.randint(0, 12))]
+        hashes[i] = sorted(set(copy))
+    hashes |= {200 + i: [*hashes[i], *range(10_000 * (i + 1), 10_000 * (i + 1) + len(hashes[i]) // 4)] for i in range(20)}
+    sets = spark.createDataFrame(list(hashes.items()), "sk long, hashes array<long>")
+    crowd = spark.createDataFrame([(1, i, len(h), 0) for i, h in hashes.items()], "k long, sk long, n long, fp long")
+    buckets = collections.defaultdict(list)
+    for x in simhash._refined(crowd, sets, 0.8).collect():
+        buckets[x["k"]].append((x["sk"], x["n"], x["m"]))
+    met = {(min(a, b), max(a, b)) for v in buckets.values() for (a, na, ma), (b, nb, mb) in itertools.combinations(v, 2) if 1.8 * min(ma, mb) >= 0.8 * (na + nb) - 1e-6}
+    s = {i: set(h) for i, h in hashes.items()}
+    close = {(a, b) for a, b in itertools.combinations(sorted(s), 2) if 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])}
+    assert len(close) > 100 and close <= met
+
+
 def _base_spans(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     kinds = {
